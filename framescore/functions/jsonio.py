@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The fence around a JSON reply and the shapes of the messages.
+FENCE_START = "```json"
 FENCE = r"(?s)```json\s*(.*?)\s*```"
 DATA_URL = "data:image/jpeg;base64,"
 REPLY_SCHEMA = "animal string, label string, notes string"
@@ -23,8 +24,8 @@ def data_url(content: Column) -> Column:
 
 def fenced_json(reply: Column) -> Column:
     """The JSON text in a reply: what its first ``json`` fence holds, else all of it."""
-    whole = F.regexp_replace(reply, r"^\s+|\s+$", "")
-    return F.when(reply.rlike(FENCE), F.regexp_extract(reply, FENCE, 1)).otherwise(whole)
+    fenced = reply.contains(FENCE_START) & reply.rlike(FENCE)
+    return F.when(fenced, F.regexp_extract(reply, FENCE, 1)).otherwise(F.btrim(reply, F.lit(" \t\n\r\f\v")))
 
 
 def label_reply(reply: Column) -> Column:

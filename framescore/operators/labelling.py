@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.jsonio import label_reply, normalised_label
 from framescore.functions.names import stem
+from framescore.functions.staging import compute_once
 from framescore.schema import LABEL_REPLIES, LABELS, SchemaError, validate
 
 REQUIRED = ["image_name", "label", "notes"]
@@ -39,7 +40,7 @@ def label_images(images: DataFrame, labeller: Callable[[bytes], str], parallelis
 
 def parse_replies(replies: DataFrame) -> DataFrame:
     """Replies with their parsed label; a reply that is not usable JSON turns ``ok`` off."""
-    parsed = replies.withColumn("_reply", label_reply(F.col("raw")))
+    parsed = compute_once(replies, "_reply", label_reply(F.col("raw")))
     label = normalised_label(F.col("_reply"))
     ok = F.col("ok") & label.isNotNull()
     reason = F.coalesce(F.col("error"), F.when(~ok, F.lit("no label in reply")))

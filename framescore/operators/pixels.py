@@ -37,7 +37,10 @@ Kernel = Callable[[np.ndarray, Hashable], np.ndarray]
 
 
 def on_stacks(images: pd.DataFrame, keys: pd.Series | None, kernel: Kernel) -> pd.DataFrame:
-    """Run ``kernel(stack, key)`` on each stack ``[n, h, w, c]`` of one size and key."""
+    """Run ``kernel(stack, key)`` on each stack ``[n, h, w, c]`` of one size and key.
+
+    Rows without pixels or without a key come out as they are.
+    """
     out = images.astype(object).where(images.notna(), None).reset_index(drop=True)
     present = out[out["data"].notna()]
     by = [present[c] for c in ("height", "width", "nChannels")]
@@ -63,16 +66,6 @@ def image_udf(kernel: Kernel) -> Callable[[Column], Column]:
     return apply
 
 
-def keyed_image_udf(kernel: Kernel) -> Callable[[Column, Column], Column]:
-    """An image column function steered by a second column."""
-
-    @F.pandas_udf(IMAGE)
-    def apply(images: pd.DataFrame, keys: pd.Series) -> pd.DataFrame:
-        return on_stacks(images, keys, kernel)
-
-    return apply
-
-
 def take(stack: np.ndarray, op: str) -> np.ndarray:
     """A flip or quarter turn by its index map."""
     h, w = stack.shape[1:3]
@@ -102,12 +95,24 @@ def skew(stack: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     return np.where(inside[..., None], np.floor(upper + (lower - upper) * dy), 0).astype(np.uint8)
 
 
-def compose(stack: np.ndarray, ops: str) -> np.ndarray:
-    """Apply ``ops`` (names joined by ``>``) in order; the skew keeps the first size."""
-    size = stack.shape[1:3]
-    for op in filter(None, ops.split(">")):
-        stack = take(stack, op) if op in SOURCE_OF else skew(stack, size)
-    return stack
+def one_transform(stack: np.ndarray, step: tuple[str, int, int]) -> np.ndarray:
+    op, h, w = step
+    return take(stack, op) if op in SOURCE_OF else skew(stack, (h, w))
+
+
+@F.pandas_udf(IMAGE)
+def augment(images: pd.DataFrame, plans: pd.Series) -> pd.DataFrame:
+    """Apply each row's own list of transforms, as made by ``noise.augment_plan``.
+
+    Images that share the transform of a step are stacked, whatever came before. The
+    skew keeps the size an image had before any turn.
+    """
+    images, ops = images.reset_index(drop=True), [plan.split(">") if plan else [] for plan in plans]
+    sizes = list(zip(images["height"], images["width"]))
+    for step in range(max(map(len, ops), default=0)):
+        todo = [(o[step], *size) if step < len(o) else None for o, size in zip(ops, sizes)]
+        images = on_stacks(images, pd.Series(todo, dtype=object), one_transform)
+    return images
 
 
 def _one_axis(stack: np.ndarray, n_out: int, filter_name: str, axis: int) -> np.ndarray:
@@ -175,11 +180,6 @@ def crop_resize(
     return image_udf(lambda stack, _: resized(square(bgr(stack), bias), size, size, filter_name))(image)
 
 
-def augment(image: Column, ops: Column) -> Column:
-    """Apply each row's own list of transforms, as made by ``noise.augment_plan``."""
-    return keyed_image_udf(compose)(image, ops)
-
-
 def as_image_column(image: Column, name: str = "image") -> Column:
     """Mark a column as an image, so that viewers preview it."""
     return image.alias(name, metadata=IMAGE_METADATA)

@@ -8,15 +8,34 @@ from pyspark.sql import functions as F
 from framescore.session import cut_lineage
 
 
-def exact_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+# A group up to this size is sorted in one task.
+MAX_TASK_ROWS = 5_000_000
+
+
+def exact_rank(
+    df: DataFrame, group: list[str], order: list[str], name: str = "rank",
+    max_task_rows: int = MAX_TASK_ROWS,
+) -> DataFrame:
     """Add the 1-based position of each row in its group.
 
-    ``group + order`` must identify a row. A plain ``row_number`` window would put a
-    whole group into one task. Here the rows are range-partitioned on group and
-    order, so one large group spreads over many tasks, numbered in place, and each
-    (group, range) block is shifted by the rows of its group in earlier ranges. The
-    block table has at most one row per group and range, so a group never has more
-    blocks to sum than there are ranges.
+    ``group + order`` must identify a row. The group sizes are counted first, reading
+    the group columns only. Where all are small enough, one window does it; where one
+    is not, the ranking is spread.
+    """
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest <= max_task_rows:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
+    return spread_rank(df, group, order, name)
+
+
+def spread_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+    """``exact_rank`` for groups too large for one task.
+
+    The rows are range-partitioned on group and order, so a large group covers many
+    tasks, and are numbered in place; then each (group, range) block is shifted by the
+    rows its group has in earlier ranges. The block table has at most one row per
+    group and range, so no group has more blocks to sum than there are ranges.
     """
     spark = df.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))

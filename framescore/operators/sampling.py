@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.names import frame_name, with_variant
 from framescore.functions.seeds import draw
-from framescore.operators.ranking import exact_rank
+from framescore.operators.ranking import MAX_TASK_ROWS, exact_rank
 from framescore.schema import ABNORMAL, NORMAL
 
 # Class targets, variants per image, the share held out for
@@ -24,10 +24,13 @@ def hash_split(df: DataFrame, key: str = "name", one_in: int = EVAL_ONE_IN) -> D
     return df.withColumn("split", F.when(held_out, "eval").otherwise("train"))
 
 
-def stratified_split(df: DataFrame, key: str = "name", label: str = "label", one_in: int = EVAL_ONE_IN) -> DataFrame:
+def stratified_split(
+    df: DataFrame, key: str = "name", label: str = "label", one_in: int = EVAL_ONE_IN,
+    max_task_rows: int = MAX_TASK_ROWS,
+) -> DataFrame:
     """``key, label, split`` with exactly ``ceil(n / one_in)`` eval rows in each class."""
     keyed = df.select(key, label).withColumn("_draw", F.md5(F.col(key)))
-    ranked = exact_rank(keyed, [label], ["_draw", key])
+    ranked = exact_rank(keyed, [label], ["_draw", key], max_task_rows=max_task_rows)
     held_out = F.pmod(F.col("rank") - 1, F.lit(one_in)) == 0
     return ranked.select(key, label, F.when(held_out, "eval").otherwise("train").alias("split"))
 
@@ -101,13 +104,15 @@ def frame_step(fps: Column, seconds: float = SECONDS_BETWEEN_FRAMES) -> Column:
     return F.greatest(F.lit(1), F.bround(fps * F.lit(seconds), 0).cast("int"))
 
 
-def stride_sample(frames: DataFrame, source: str, order: list[str], step: Column | int) -> DataFrame:
+def stride_sample(
+    frames: DataFrame, source: str, order: list[str], step: Column | int, max_task_rows: int = MAX_TASK_ROWS
+) -> DataFrame:
     """Keep every ``step``-th row of each source and number the kept rows from 1."""
     every = step if isinstance(step, Column) else F.lit(max(1, step))
     before = F.col("rank") - 1
     number = F.floor(before / every).cast("bigint") + 1
     return (
-        exact_rank(frames, [source], order)
+        exact_rank(frames, [source], order, max_task_rows=max_task_rows)
         .where(F.pmod(before, every) == 0)
         .withColumns({"frame_no": number, "frame_name": frame_name(number)})
         .drop("rank")

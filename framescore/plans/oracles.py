@@ -522,3 +522,6 @@ ORACLES: dict[str, str] = {
         "count(*) FILTER (label = pred_class) AS n_right FROM scored GROUP BY label"
     ),
 }
+
+ORACLES["stratified_split_spread"] = ORACLES["stratified_split"]
+ORACLES["stride_sample_spread"] = ORACLES["stride_sample"]

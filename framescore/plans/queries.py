@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framescore.functions import grid, jsonio, names
 from framescore.functions.probability import linear_logits, with_scores
+from framescore.functions.staging import spread
 from framescore.operators import combine, evaluate, head, labelling, noise, pixels, runlog, sampling, scoring
 from framescore.schema import ABNORMAL, NO_PATH, NORMAL
 from framescore.session import new_shared_path, ship_package
@@ -31,6 +35,7 @@ NO_BIAS = [0.0, 0.0]
 TARGETS = {NORMAL: 2000, ABNORMAL: 1100}
 BIG = 64
 FPS = 4.9
+NOISE_SUMMARY = T.StructType([T.StructField(n, T.LongType()) for n in ("black", "white", "weighed")])
 
 
 def query(build: Query) -> Query:
@@ -75,7 +80,7 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grids as grey images of 8x8 pixels."""
     levels = grid.to_bytes(F.col("grid"), -1.0, 1.0)
-    return grids(spark, sf_dir).select(
+    return spread(grids(spark, sf_dir), "vec_id").select(
         "vec_id", "name", "label", pixels.image_from_levels(levels, SIDE, SIDE).alias("image")
     )
 
@@ -349,6 +354,12 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_split(grids(spark, sf_dir))
 
 
+@query
+def stratified_split_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the ranking for classes too large for one task."""
+    return sampling.stratified_split(grids(spark, sf_dir), max_task_rows=0)
+
+
 @query
 def split_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.split_counts(sampling.hash_split(grids(spark, sf_dir)))
@@ -392,6 +403,15 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("user_id", "event_id", "frame_no", "frame_name")
 
 
+@query
+def stride_sample_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the ranking for sources too large for one task."""
+    frames = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    step = sampling.frame_step(F.lit(FPS))
+    kept = sampling.stride_sample(frames, "user_id", ["ts", "event_id"], step, max_task_rows=0)
+    return kept.select("user_id", "event_id", "frame_no", "frame_name")
+
+
 # --- grids --------------------------------------------------------------------------
 
 
@@ -444,17 +464,17 @@ def grid_resize_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grid_resize_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(grids(spark, sf_dir), grid.resize_smooth(F.col("grid"), SIDE, SIDE, 5, 11), "vec_id")
+    return cells(spread(grids(spark, sf_dir), "vec_id"), grid.resize_smooth(F.col("grid"), SIDE, SIDE, 5, 11), "vec_id")
 
 
 @query
 def grid_resize_cubic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(grids(spark, sf_dir), grid.resize_smooth(F.col("grid"), SIDE, SIDE, 5, 11, "cubic"), "vec_id")
+    return cells(spread(grids(spark, sf_dir), "vec_id"), grid.resize_smooth(F.col("grid"), SIDE, SIDE, 5, 11, "cubic"), "vec_id")
 
 
 @query
 def grid_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cells(grids(spark, sf_dir), grid.squash_and_skew(F.col("grid"), SIDE, SIDE), "vec_id")
+    return cells(spread(grids(spark, sf_dir), "vec_id"), grid.squash_and_skew(F.col("grid"), SIDE, SIDE), "vec_id")
 
 
 # --- pixels -------------------------------------------------------------------------
@@ -499,18 +519,19 @@ def pixel_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixel_rows(rows, pixels.augment(F.col("image"), plan), "vec_id", "variant")
 
 
-def _noise_summary(df: DataFrame) -> DataFrame:
+@F.pandas_udf(NOISE_SUMMARY)
+def _summary(images: pd.DataFrame) -> pd.DataFrame:
     """Black and white pixels of each image, and a sum that depends on where they are."""
-    done = df.select("vec_id", pixels.levels_of(F.col("image")).alias("levels"))
-    weighed = F.aggregate(
-        F.transform("levels", lambda v, i: v.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, v: a + v
-    )
-    return done.select(
-        "vec_id",
-        F.size(F.filter("levels", lambda v: v == noise.PEPPER)).cast("bigint").alias("black"),
-        F.size(F.filter("levels", lambda v: v == noise.SALT)).cast("bigint").alias("white"),
-        weighed.alias("weighed"),
-    )
+    levels = [np.frombuffer(d, np.uint8).astype(np.int64) for d in images["data"]]
+    return pd.DataFrame({
+        "black": [(v == noise.PEPPER).sum() for v in levels],
+        "white": [(v == noise.SALT).sum() for v in levels],
+        "weighed": [(v * np.arange(1, len(v) + 1)).sum() for v in levels],
+    })
+
+
+def _noise_summary(df: DataFrame) -> DataFrame:
+    return df.select("vec_id", _summary(F.col("image")).alias("s")).select("vec_id", "s.*")
 
 
 @query

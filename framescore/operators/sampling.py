@@ -59,7 +59,8 @@ def class_repetitions(df: DataFrame, targets: dict[int, int], label: str = "labe
     empty = F.raise_error(F.concat(F.lit("no rows of class "), F.col(label).cast("string")))
     n = F.when(F.col("n_source").isNull(), empty.cast("bigint")).otherwise(F.col("n_source"))
     reps = F.greatest(F.lit(1), F.floor(F.col("target") / F.col("n_source"))).cast("int")
-    return wanted.join(counts, label, "left").select(label, n.alias("n_source"), "target", reps.alias("reps"))
+    found = wanted.join(counts, label, "left").withColumn("n_source", n)
+    return found.select(label, "n_source", "target", reps.alias("reps"))
 
 
 def balance_classes(

@@ -18,13 +18,15 @@ from framescore.sources.tables import read_table, write_table
 # The raw classes of the two kinds of source image.
 CLEAN, NOISY = "swan", "noisy"
 
+DECODED, REJECTED = "decoded", "rejected"
+
 
 def small_images(spark: SparkSession, folder: str) -> DataFrame:
-    """``name, path, image, decoded`` with images in stored size, null where not decoded."""
-    found = read_images(spark, folder)
-    usable = F.when(decoded(F.col("image")), F.col("image"))
+    """``name, path, image, status`` with images in stored size, null where rejected."""
+    found, good = read_images(spark, folder), decoded(F.col("image"))
     return found.withColumns({
-        "image": as_image_column(crop_resize(usable)), "decoded": decoded(F.col("image")),
+        "image": as_image_column(crop_resize(F.when(good, F.col("image")))),
+        "status": F.when(good, DECODED).otherwise(REJECTED),
     })
 
 
@@ -33,21 +35,22 @@ def ingest(spark: SparkSession, image_dir: str, label_dir: str, noisy_dir: str,
 
     Every file is decoded once. Images shrink before they meet the labels, so a label
     table too large to broadcast moves small images and not full frames. The rows of
-    files that cannot be decoded go to the partition ``decoded=false``.
+    files that cannot be decoded go to a partition of their own.
     """
     labels = read_labels(spark, find_label_file(spark, label_dir))
     clean = join_labels(small_images(spark, image_dir), labels)
     noisy = small_images(spark, noisy_dir).withColumn("label", F.lit(NOISY))
-    write_table(union_all([clean, noisy]), f"{out_dir}/images_resized", partition_by=["decoded"])
+    write_table(union_all([clean, noisy]), f"{out_dir}/images_resized", partition_by=["status"])
 
-    resized = read_table(spark, f"{out_dir}/images_resized").where("decoded")
+    resized = read_table(spark, f"{out_dir}/images_resized").where(F.col("status") == DECODED)
     write_table(with_flips(validate(resized, IMAGE_TABLE)), f"{out_dir}/images_final")
     return read_table(spark, f"{out_dir}/images_final", IMAGE_TABLE)
 
 
 def rejected_files(spark: SparkSession, out_dir: str) -> DataFrame:
     """``name, path`` of the files that ``ingest`` could not decode."""
-    return read_table(spark, f"{out_dir}/images_resized").where("not decoded").select("name", "path")
+    resized = read_table(spark, f"{out_dir}/images_resized")
+    return resized.where(F.col("status") == REJECTED).select("name", "path")
 
 
 def with_flips(images: DataFrame) -> DataFrame:

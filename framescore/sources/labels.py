@@ -27,11 +27,15 @@ def find_label_file(spark: SparkSession, folder: str) -> str:
     return found
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """A label CSV with the declared header; another header or a broken row is an error."""
+def read_labels(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """A label CSV with the declared header; another header or a broken row is an error.
+
+    A quote inside a quoted field is doubled. ``multi_line`` allows line breaks in
+    notes, at the price that one task reads the whole file.
+    """
     return (
         spark.read.schema(LABELS).option("header", True).option("enforceSchema", False)
-        .option("mode", "FAILFAST").csv(path)
+        .option("escape", '"').option("multiLine", multi_line).option("mode", "FAILFAST").csv(path)
     )
 
 
@@ -46,7 +50,8 @@ def read_label_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def write_labels_csv(labels: DataFrame, path: str) -> None:
     """Labels with a header and every field quoted; an earlier run's output is replaced."""
-    labels.select(*LABELS.names).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    writer = labels.select(*LABELS.names).write.mode("overwrite").option("header", True)
+    writer.option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_labels_json(labels: DataFrame, path: str) -> None:

@@ -27,13 +27,6 @@ def kind(dtype: str) -> str:
     return {"integer": "int", "int32": "int", "bigint": "bigint", "varchar": "string"}.get(dtype, dtype)
 
 
-def rows(df: pd.DataFrame) -> pd.DataFrame:
-    """Rows in one order, nulls alike, numbers as numbers."""
-    df = df.reindex(sorted(df.columns), axis=1).astype(object).where(df.notna(), None)
-    key = df.apply(lambda r: tuple((v is None, str(v) if not isinstance(v, (int, float)) else f"{float(v):030.9f}") for v in r), axis=1)
-    return df.assign(_k=key).sort_values("_k").drop(columns="_k").reset_index(drop=True)
-
-
 def check(spark, con, build, sql: str, sf_dir: str) -> tuple[int, list[str]]:
     """The number of rows, and what differs."""
     mine = build(spark, sf_dir)

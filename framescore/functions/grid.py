@@ -29,6 +29,14 @@ def _col(v: Column | int | float) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def number_array(values: list) -> Column:
+    """Numbers, or lists of numbers, as one literal array of doubles."""
+    def text(v: list | float) -> str:
+        return f"array({', '.join(map(text, v))})" if isinstance(v, list) else f"{float(v)!r}D"
+
+    return F.expr(text(values))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where ``body`` loops over it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -117,8 +125,8 @@ def _dot(size: int, term: Callable[[Column], Column]) -> Column:
 
 def resize_smooth(grid: Column, height: int, width: int, out_h: int, out_w: int, filter_name: str = "bilinear") -> Column:
     """Separable resize, rows first; the filter widens when the image shrinks."""
-    across = F.lit(resize_weights(width, out_w, filter_name).tolist())
-    down = F.lit(resize_weights(height, out_h, filter_name).tolist())
+    across = number_array(resize_weights(width, out_w, filter_name).tolist())
+    down = number_array(resize_weights(height, out_h, filter_name).tolist())
     rows = let(grid, lambda g: _cells(
         height, out_w,
         lambda y, x: _dot(width, lambda j: _at(g, y, j, width).cast("double") * F.get(F.get(across, x), j)),

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framescore.functions.grid import let
+
 # The fence around a JSON reply and the shapes of the messages.
 FENCE_START = "```json"
 FENCE = r"(?s)```json\s*(.*?)\s*```"
 DATA_URL = "data:image/jpeg;base64,"
 REPLY_SCHEMA = "animal string, label string, notes string"
 PREDICTIONS_SCHEMA = "predictions array<array<double>>"
-INSTANCES_SCHEMA = "instances array<array<double>>"
+INSTANCES_SCHEMA = "instances array<array<array<array<double>>>>"
 TENSOR_SCHEMA = (
     "inputs struct<tensor: struct<`shape`: array<int>, `values`: array<double>>>"
 )
@@ -38,9 +42,21 @@ def normalised_label(parsed: Column) -> Column:
     return F.coalesce(parsed["label"], parsed["animal"])
 
 
-def instances_request(values: Column) -> Column:
-    """``{"instances": [[…]]}`` with one instance."""
-    return F.to_json(F.struct(F.array(values).alias("instances")))
+def nested(values: Column, shape: list[int]) -> Column:
+    """A flat array as arrays in arrays: ``[3, 224, 224]`` gives 3 of 224 of 224."""
+    def level(flat: Column, dims: list[int], start: Column) -> Column:
+        if len(dims) == 1:
+            return F.slice(flat, start + 1, F.lit(dims[0]))
+        block = math.prod(dims[1:])
+        positions = F.sequence(F.lit(0), F.lit(dims[0] - 1))
+        return F.transform(positions, lambda i: level(flat, dims[1:], start + i * block))
+
+    return let(values, lambda flat: level(flat, shape, F.lit(0)))
+
+
+def instances_request(values: Column, shape: list[int]) -> Column:
+    """``{"instances": [[[[…]]]]}`` with one instance of ``shape``."""
+    return F.to_json(F.struct(F.array(nested(values, shape)).alias("instances")))
 
 
 def tensor_request(values: Column, shape: list[int]) -> Column:

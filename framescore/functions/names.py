@@ -13,6 +13,7 @@ FLIPPED = "_flipped.jpg"
 FLIPPED_PATTERN = r"_flipped\.jpg$"
 TRANSPOSED = "_tr.jpg"
 DAMAGED = "_damaged.jpg"
+NOISY_ENDING = "_noisy"
 FRAME_FORMAT = "frame_%03d.jpg"
 
 
@@ -26,6 +27,11 @@ def with_suffix(name: Column, suffix: str) -> Column:
     return F.regexp_replace(name, JPG_SUFFIX, suffix)
 
 
+def with_ending(name: Column, ending: str) -> Column:
+    """Put ``ending`` before the last extension, whichever it is."""
+    return F.regexp_replace(name, r"^(.*?)(\.[^./]*)?$", f"$1{ending}$2")
+
+
 def with_variant(name: Column, variant: Column, prefix: str = "_tr") -> Column:
     """Name variant ``i`` of an image: ``a.jpg`` becomes ``a_tr{i}.jpg``."""
     return F.regexp_replace(

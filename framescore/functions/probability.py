@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescore.functions.grid import let
+from framescore.functions.grid import let, number_array
 
 
 def softmax(logits: Column) -> Column:
@@ -33,9 +33,7 @@ def confidence(probs: Column) -> Column:
 
 
 def _weighted_sum(features: Column, weights: list[float]) -> Column:
-    products = F.zip_with(
-        features, F.lit([float(w) for w in weights]), lambda v, w: v.cast("double") * w
-    )
+    products = F.zip_with(features, number_array(weights), lambda v, w: v.cast("double") * w)
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 

@@ -38,7 +38,7 @@ def _vectors(df: DataFrame, features: str, label: str) -> DataFrame:
 def predict(df: DataFrame, model: LogisticRegressionModel, features: str = "features") -> DataFrame:
     """Add logits and everything derived from them to ``df``."""
     vectors = df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
-    raw = model.setFeaturesCol("_v").transform(vectors)
+    raw = model.copy().setFeaturesCol("_v").transform(vectors)
     logits = vector_to_array("rawPrediction")
     return with_scores(
         raw.withColumn("logits", logits).drop("_v", "rawPrediction", "probability", "prediction")

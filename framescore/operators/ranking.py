@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescore.session import cut_lineage
 
-
 # A group up to this size is sorted in one task.
 MAX_TASK_ROWS = 5_000_000
 
@@ -20,16 +22,18 @@ def exact_rank(
 
     ``group + order`` must identify a row. The group sizes are counted first, reading
     the group columns only. Where all are small enough, one window does it; where one
-    is not, the ranking is spread.
+    is not, the ranking is spread. A limit of 0 always spreads.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    largest, total = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if largest <= max_task_rows:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    return spread_rank(df, group, order, name)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    needed = math.ceil(total / max_task_rows) if max_task_rows else tasks
+    return spread_rank(df, group, order, name, max(tasks, needed))
 
 
-def spread_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
+def spread_rank(df: DataFrame, group: list[str], order: list[str], name: str, ranges: int) -> DataFrame:
     """``exact_rank`` for groups too large for one task.
 
     The rows are range-partitioned on group and order, so a large group covers many
@@ -37,8 +41,6 @@ def spread_rank(df: DataFrame, group: list[str], order: list[str], name: str = "
     rows its group has in earlier ranges. The block table has at most one row per
     group and range, so no group has more blocks to sum than there are ranges.
     """
-    spark = df.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group, *order]
     placed = cut_lineage(
         df.repartitionByRange(ranges, *keys)
@@ -53,11 +55,9 @@ def spread_rank(df: DataFrame, group: list[str], order: list[str], name: str = "
     earlier = (
         Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
-    shifts = blocks.withColumn(
-        "_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
-    ).drop("_rows", "_first")
-    return (
-        placed.join(shifts, [*group, "_range"])
-        .withColumn(name, F.col("_pos") + F.col("_shift"))
-        .select(*df.columns, name)
-    )
+    shift = F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1
+    block = [*group, "_range"]
+    shifts = blocks.select(*[F.col(c).alias(f"_block_{c}") for c in block], shift.alias("_shift"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_block_{c}")) for c in block])
+    ranked = placed.join(shifts, same).withColumn(name, F.col("_pos") + F.col("_shift"))
+    return ranked.select(*df.columns, name)

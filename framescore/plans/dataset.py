@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.functions.names import DAMAGED, FLIPPED, class_id, is_flipped, with_suffix, with_variant
+from framescore.functions.names import (
+    DAMAGED,
+    FLIPPED,
+    NOISY_ENDING,
+    class_id,
+    is_flipped,
+    with_ending,
+    with_suffix,
+    with_variant,
+)
 from framescore.operators.combine import join_labels, union_all
-from framescore.operators.noise import augment_plan, salt_and_pepper
+from framescore.operators.noise import NOISE_AMOUNT, SALT_SHARE, area_noise, augment_plan, salt_and_pepper
 from framescore.operators.pixels import as_image_column, augment, crop_resize
 from framescore.operators.sampling import CLASS_TARGETS, FANOUT, balance_classes, fan_out
 from framescore.schema import GOLD, IMAGE_TABLE, NO_PATH, validate
@@ -67,6 +76,12 @@ def with_flips(images: DataFrame) -> DataFrame:
     )
 
 
+def noisy_images(images: DataFrame, amount: float = NOISE_AMOUNT, salt_share: float = SALT_SHARE) -> DataFrame:
+    """Each image with noise patches over a share of its area, as a new image."""
+    drawn = area_noise(images, "name", "image", amount, salt_share)
+    return drawn.withColumns({"name": with_ending(F.col("name"), NOISY_ENDING), "path": F.lit(NO_PATH)})
+
+
 def abnormal_images(images: DataFrame) -> DataFrame:
     """Five random variants of each noisy image, and each clean image with noise patches."""
     varied = fan_out(images.where(F.col("label") == NOISY), FANOUT)

@@ -14,6 +14,7 @@ from framescore.operators.runlog import log_run
 from framescore.operators.sampling import hash_split
 from framescore.operators.scoring import score_table
 from framescore.operators.tensors import pixel_features
+from framescore.session import cut_lineage
 
 
 def training_rows(gold: DataFrame, size: int = 8) -> DataFrame:
@@ -25,7 +26,12 @@ def train(
     spark: SparkSession, rows: DataFrame, run_dir: str, experiment: str, run_id: str,
     started: datetime, table: str,
 ) -> Head:
-    """Fit the best head and log it next to the untrained baseline."""
+    """Fit the best head and log it next to the untrained baseline.
+
+    The feature rows are written first: fitting reads them many times, and they must
+    not be computed from the pixels each time.
+    """
+    rows = cut_lineage(rows, "features")
     baseline = prior_baseline(rows).first()
     head = fit_best_head(rows)
     metrics = {**head.metrics, "baseline_f1_normal": baseline["f1_normal"]}

@@ -35,6 +35,11 @@ def u(text: str) -> str:
     return f"({h(text)}::DOUBLE / 4294967296e0)"
 
 
+def _unit(v: str) -> str:
+    """A grey level as a model input in [-1, 1], in single precision as models take it."""
+    return f"((({v}::FLOAT / 255::FLOAT) - 0.5::FLOAT) / 0.5::FLOAT)::DOUBLE"
+
+
 def _dot(cls: int) -> str:
     return (
         f"list_reduce(list_transform(g, lambda v, i: v * (((7 * (i - 1) + 13 * {cls}) % 11 - 5) / 2e0)), "
@@ -460,6 +465,22 @@ ORACLES: dict[str, str] = {
     "tensor_rescale": _cells(LEVELS, CELLS, "px[k + 1] / 255e0", table="levels"),
     "tensor_normalise": _cells(LEVELS, CELLS, "(px[k + 1] / 255e0 - 5e-1) / 5e-1", table="levels"),
     "tensor_chw": _cells(GRID, CELLS, "g[(k % 16) * 4 + k // 16 + 1]"),
+    "pixel_tensor": (
+        f"WITH {LEVELS}, {_weights('w', 8, 12, CUBIC)}, "
+        f"across AS (SELECT vec_id, y, w.i AS x, {_byte('sum(px[y * 8 + w.j + 1] * w.q)')} AS v "
+        "FROM levels, unnest(range(8)) t(y), w GROUP BY vec_id, y, w.i), "
+        f"big AS (SELECT vec_id, w.i * 12 + x AS p, {_byte('sum(v * w.q)')} AS v "
+        "FROM across JOIN w ON w.j = y GROUP BY vec_id, w.i, x) "
+        f"SELECT vec_id, (c * 144 + p)::INTEGER AS k, round({_unit('v')}, 6) AS value FROM big, unnest(range(3)) t(c)"
+    ),
+    "image_model_logits": (
+        f"WITH {LEVELS}, tensors AS (SELECT vec_id, list_transform(px, lambda v: {_unit('v')}) AS g FROM levels) "
+        f"SELECT vec_id, round(3 * {_dot(0)}, 6) AS z0, round(3 * {_dot(1)}, 6) AS z1 FROM tensors"
+    ),
+    "noisy_names": (
+        f"WITH {IMG}, names AS (SELECT name FROM img UNION ALL SELECT url FROM pages) SELECT name, "
+        "regexp_replace(name, '^(.*?)(\\.[^./]*)?$', '\\1_noisy\\2') AS noisy FROM names"
+    ),
     "score_payload_json": (
         f"WITH {GRID} SELECT vec_id, 1 AS batch, '1x1x8x8' AS shape, k::INTEGER AS k, round(g[k + 1], 6) AS instance, "
         "round(g[k + 1], 6) AS flat FROM grid, unnest(range(64)) t(k)"

@@ -18,7 +18,18 @@ from pyspark.sql import types as T
 from framescore.functions import grid, jsonio, names
 from framescore.functions.probability import linear_logits, with_scores
 from framescore.functions.staging import spread
-from framescore.operators import combine, evaluate, head, labelling, noise, pixels, runlog, sampling, scoring
+from framescore.operators import (
+    combine,
+    evaluate,
+    head,
+    labelling,
+    noise,
+    pixels,
+    runlog,
+    sampling,
+    scoring,
+    tensors,
+)
 from framescore.schema import ABNORMAL, NO_PATH, NORMAL
 from framescore.session import new_shared_path, ship_package
 from framescore.streaming.score import score_stream, stream_table
@@ -590,19 +601,45 @@ def tensor_chw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(grids(spark, sf_dir), grid.to_chw(F.col("grid"), 4, 4, 4), "vec_id")
 
 
+@query
+def pixel_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures as model inputs: three channels, 12x12, normalised."""
+    rows = pictures(spark, sf_dir).select("vec_id", tensors.to_tensor(F.col("image"), 12).alias("t"))
+    return cells(rows, F.col("t"), "vec_id")
+
+
+@query
+def image_model_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures through preprocessing and a model in one step: 8x8, the head on each channel."""
+    model = scoring.linear_predict([row * 3 for row in HEAD], NO_BIAS)
+    logits = scoring.image_logits(F.col("image"), model, SIDE)
+    rows = pictures(spark, sf_dir).select("vec_id", logits.alias("logits"))
+    return rows.select("vec_id", r6(F.col("logits")[0]).alias("z0"), r6(F.col("logits")[1]).alias("z1"))
+
+
+@query
+def noisy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("name")
+    paths = combine.union_all([
+        images(spark, sf_dir).select("name"), table(spark, sf_dir, "pages").select(F.col("url").alias("name")),
+    ])
+    return paths.select("name", names.with_ending(name, names.NOISY_ENDING).alias("noisy"))
+
+
 @query
 def score_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests in both forms, read back: batch size, shape and values."""
     values = F.transform("grid", lambda v: v.cast("double"))
     rows = grids(spark, sf_dir).select(
-        "vec_id", jsonio.instances_request(values).alias("a"),
+        "vec_id", jsonio.instances_request(values, [1, SIDE, SIDE]).alias("a"),
         jsonio.tensor_request(values, [1, SIDE, SIDE]).alias("b"),
     )
     back = rows.select(
         "vec_id", F.from_json("a", jsonio.INSTANCES_SCHEMA)["instances"].alias("instances"),
         F.from_json("b", jsonio.TENSOR_SCHEMA)["inputs"]["tensor"].alias("tensor"),
     )
-    pairs = F.arrays_zip(F.col("instances")[0].alias("instance"), F.col("tensor.values").alias("flat"))
+    instance = F.flatten(F.flatten(F.col("instances")[0])).alias("instance")
+    pairs = F.arrays_zip(instance, F.col("tensor.values").alias("flat"))
     return back.select(
         "vec_id", F.size("instances").alias("batch"), F.array_join("tensor.shape", "x").alias("shape"),
         F.posexplode(pairs).alias("k", "p"),

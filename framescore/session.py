@@ -19,6 +19,8 @@ SCALE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # No stack trace per column expression: plans with many of them build faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

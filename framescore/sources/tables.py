@@ -29,8 +29,14 @@ def write_table(
     writer.parquet(path)
 
 
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty table at ``path``, unless there is something already."""
+    spark.createDataFrame([], schema).coalesce(1).write.mode("ignore").parquet(path)
+
+
 def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: str, order: list[str]) -> None:
     """Append the rows whose key the folder does not hold yet, so a re-run adds nothing."""
+    ensure_table(spark, path, incoming.schema)
     known = spark.read.parquet(path).select(key)
     write_table(only_new(incoming, known, key, order), path, mode="append")
 

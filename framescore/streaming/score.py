@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from framescore.functions.indexmaps import MODEL_SIZE
-from framescore.operators.combine import only_new
 from framescore.operators.scoring import Predict, image_logits, score_table
 from framescore.sources.images import stream_images, valid
-from framescore.sources.tables import ROWS_PER_FILE
+from framescore.sources.tables import append_new
 
 FILES_PER_BATCH = 1000
 
@@ -41,8 +41,6 @@ def score_image_stream(
     path: str, checkpoint: str, size: int = MODEL_SIZE,
 ) -> StreamingQuery:
     """Score image files as they land in a folder."""
-    from pyspark.sql import functions as F
-
     images = valid(stream_images(spark, folder))
     return score_stream(images, image_logits(F.col("image"), make_predict, size), ["name", "path"], path, checkpoint)
 
@@ -52,16 +50,8 @@ def append_new_stream(stream: DataFrame, path: str, key: str, order: list[str],
 
     A batch that is replayed after a failure finds its keys there and adds nothing.
     """
-    schema = stream.schema
-
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.schema(schema).parquet(path)
-        except Exception:  # noqa: BLE001  the first batch makes the folder
-            known = spark.createDataFrame([], schema)
-        new = only_new(batch, known, key, order)
-        new.write.mode("append").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+        append_new(batch.sparkSession, batch, path, key, order)
 
     return (
         stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

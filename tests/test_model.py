@@ -47,6 +47,16 @@ def test_fenced_json(spark, reply, expected):
     assert one(spark, jsonio.fenced_json(F.lit(reply))) == expected
 
 
+def test_requests(spark):
+    import json
+
+    values = F.lit([float(i) for i in range(24)])
+    body = json.loads(one(spark, jsonio.instances_request(values, [2, 3, 4])))
+    assert np.array_equal(np.array(body["instances"]), np.arange(24.0).reshape(1, 2, 3, 4))
+    tensor = json.loads(one(spark, jsonio.tensor_request(values, [2, 3, 4])))["inputs"]["tensor"]
+    assert tensor["shape"] == [1, 2, 3, 4] and tensor["values"] == list(range(24))
+
+
 def test_score_reply(spark):
     assert one(spark, jsonio.predicted_logits(F.lit('{"predictions": [[-2.17, 3.16]]}'))) == [-2.17, 3.16]
     assert one(spark, jsonio.predicted_logits(F.lit('{"predictions": []}'))) is None

@@ -12,6 +12,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from framescore.operators import combine, labelling, pixels, ranking, runlog, sampling
+from framescore.plans.dataset import noisy_images
+from framescore.plans.labelling import label_folder
 from framescore.schema import FILES, LABELS, SchemaError, validate
 from framescore.session import build_session, cut_lineage, shared_dir
 from framescore.sources import images, labels, tables
@@ -205,7 +207,14 @@ def test_rank_of_a_hot_group(spark, limit):
 
 def test_rank_spreads_one_group_over_tasks(spark):
     df = spark.range(4000).select(F.lit(1).alias("g"), F.col("id"))
-    assert sorted(r["rank"] for r in ranking.spread_rank(df, ["g"], ["id"]).collect()) == list(range(1, 4001))
+    assert sorted(r["rank"] for r in ranking.spread_rank(df, ["g"], ["id"], "rank", 9).collect()) == list(range(1, 4001))
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_rank_keeps_rows_without_a_group(spark, limit):
+    df = spark.createDataFrame([(None, 3), (None, 1), (7, 2)], "g int, id int")
+    got = {tuple(r) for r in ranking.exact_rank(df, ["g"], ["id"], max_task_rows=limit).collect()}
+    assert got == {(None, 1, 1), (None, 3, 2), (7, 2, 1)}
 
 
 def test_rank_of_nothing(spark):
@@ -286,6 +295,40 @@ def test_labelling_records_failures(spark):
     assert {(r.ok, r.n) for r in labelling.label_summary(parsed).collect()} == {(True, 2), (False, 2)}
 
 
+def test_label_folder(spark, folder):
+    calls = spark.sparkContext.accumulator(0)
+
+    def labeller(content: bytes) -> str:
+        calls.add(1)
+        if len(content) < 60:
+            raise ValueError("too small")
+        return '{"animal": "swan", "notes": "seen, \\"well\\""}'
+
+    for _ in range(2):
+        failed = label_folder(spark, f"{folder}/images", labeller, f"{folder}/out", parallelism=1)
+    assert [tuple(r) for r in failed.collect()] == [("broken", "too small")]
+    assert calls.value == 10
+    rows = labels.read_labels(spark, f"{folder}/out/csv").collect()
+    assert {r.image_name for r in rows} == {"clear", "frame_001", "frame_002", "grey"}
+    assert {r.notes for r in rows} == {'seen, "well"'}
+
+
+def test_noisy_images(spark, folder):
+    found = images.valid(images.read_images(spark, f"{folder}/images")).where("image.width = 20")
+    row = noisy_images(found, amount=0.2).first()
+    assert (row.name, row.path) == ("frame_002_noisy.png", "n/a")
+    assert row.image.data != found.first().image.data
+
+
+def test_jpeg_files_are_decoded(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    for name, kind, channels in (("rgb", 5, 3), ("grey", 10, 1)):  # 3-byte BGR and byte grey
+        picture = jvm.java.awt.image.BufferedImage(12, 7, kind)
+        assert jvm.javax.imageio.ImageIO.write(picture, "jpg", jvm.java.io.File(f"{tmp_path}/{name}.jpg"))
+        row = images.read_images(spark, f"{tmp_path}").where(f"name = '{name}.jpg'").first()
+        assert (row.image.height, row.image.width, row.image.nChannels) == (7, 12, channels)
+
+
 def test_label_columns_are_demanded(spark):
     with pytest.raises(SchemaError, match="notes"):
         labelling.normalise_labels(spark.createDataFrame([("a", "swan")], "image_name string, animal string"))

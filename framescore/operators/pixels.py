@@ -77,22 +77,25 @@ def take(stack: np.ndarray, op: str) -> np.ndarray:
 
 def skew(stack: np.ndarray, size: tuple[int, int]) -> np.ndarray:
     """Squash and skew to an output of ``size``, linear blending, black surround."""
-    h, w = stack.shape[1:3]
+    h, w, c = stack.shape[1:]
     y, x = np.mgrid[: size[0], : size[1]].astype(float)
     sy, sx = skew_point(y, x, *size)
     inside = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-    fy, fx = np.floor(sy - 0.5).astype(int), np.floor(sx - 0.5).astype(int)
-    dy, dx = (sy - 0.5 - fy)[..., None], (sx - 0.5 - fx)[..., None]
+    sy, sx = sy[inside] - 0.5, sx[inside] - 0.5
+    fy, fx = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    dy, dx = (sy - fy)[:, None], (sx - fx)[:, None]
     left, right = fx.clip(0, w - 1), (fx + 1).clip(0, w - 1)
-
-    def blend_row(row: np.ndarray) -> np.ndarray:
-        a, b = stack[:, row, left].astype(float), stack[:, row, right].astype(float)
-        return a + (b - a) * dx
-
-    upper = blend_row(fy.clip(0, h - 1))
-    has_below = ((fy + 1 >= 0) & (fy + 1 < h))[..., None]
-    lower = np.where(has_below, blend_row((fy + 1).clip(0, h - 1)), upper)
-    return np.where(inside[..., None], np.floor(upper + (lower - upper) * dy), 0).astype(np.uint8)
+    row = fy.clip(0, h - 1)
+    below = np.where((fy + 1 >= 0) & (fy + 1 < h), fy + 1, row)
+    out = np.zeros((len(stack), *size, c), np.uint8)
+    for pixels, drawn in zip(stack.reshape(len(stack), h * w, c), out):
+        a, b, d, e = (
+            pixels.take(at, axis=0).astype(float)
+            for at in (row * w + left, row * w + right, below * w + left, below * w + right)
+        )
+        upper, lower = a + (b - a) * dx, d + (e - d) * dx
+        drawn[inside] = np.floor(upper + (lower - upper) * dy)
+    return out
 
 
 def one_transform(stack: np.ndarray, step: tuple[str, int, int]) -> np.ndarray:
@@ -116,12 +119,20 @@ def augment(images: pd.DataFrame, plans: pd.Series) -> pd.DataFrame:
 
 
 def _one_axis(stack: np.ndarray, n_out: int, filter_name: str, axis: int) -> np.ndarray:
-    if stack.shape[axis] == n_out:
+    """Resize one axis: one pass per neighbour an output pixel draws on, in whole numbers."""
+    n_in = stack.shape[axis]
+    if n_in == n_out:
         return stack
-    weights = np.floor(resize_weights(stack.shape[axis], n_out, filter_name) * 2**WEIGHT_BITS + 0.5)
-    moved = np.moveaxis(stack, axis, -1).astype(float) @ weights.T
-    levels = np.floor((moved + 2 ** (WEIGHT_BITS - 1)) / 2**WEIGHT_BITS).clip(0, 255)
-    return np.moveaxis(levels.astype(np.uint8), -1, axis)
+    shares = np.floor(resize_weights(n_in, n_out, filter_name) * 2**WEIGHT_BITS + 0.5).astype(np.int32)
+    first, counts = (shares != 0).argmax(axis=1), (shares != 0).sum(axis=1)
+    shape = [1] * stack.ndim
+    shape[axis] = n_out
+    total = np.int32(2 ** (WEIGHT_BITS - 1))
+    for neighbour in range(counts.max()):
+        source = np.minimum(first + neighbour, n_in - 1)
+        share = np.where(first + neighbour < n_in, shares[np.arange(n_out), source], 0).astype(np.int32)
+        total = total + np.take(stack, source, axis) * share.reshape(shape)
+    return (total >> WEIGHT_BITS).clip(0, 255).astype(np.uint8)
 
 
 def resized(stack: np.ndarray, out_h: int, out_w: int, filter_name: str) -> np.ndarray:

@@ -230,7 +230,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" \n"), document, F.lit("\n ")))
     )
     name = F.concat(F.lit("event_"), F.col("event_id").cast("string"), F.lit(".jpg"))
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events"), "event_id").select(
         name.alias("name"), raw.alias("raw"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")
     )
 

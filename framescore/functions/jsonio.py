@@ -13,7 +13,7 @@ from framescore.functions.grid import let
 FENCE_START = "```json"
 FENCE = r"(?s)```json\s*(.*?)\s*```"
 DATA_URL = "data:image/jpeg;base64,"
-REPLY_SCHEMA = "animal string, label string, notes string"
+REPLY_SCHEMA = "animal string, label string, notes string, _corrupt_record string"
 PREDICTIONS_SCHEMA = "predictions array<array<double>>"
 INSTANCES_SCHEMA = "instances array<array<array<array<double>>>>"
 TENSOR_SCHEMA = (
@@ -33,8 +33,13 @@ def fenced_json(reply: Column) -> Column:
 
 
 def label_reply(reply: Column) -> Column:
-    """A reply as ``struct<animal, label, notes>``, null fields where it is not JSON."""
-    return F.from_json(fenced_json(reply), REPLY_SCHEMA)
+    """A reply as ``struct<animal, label, notes, _corrupt_record>``; the last is null for good JSON."""
+    return F.from_json(fenced_json(reply), REPLY_SCHEMA, {"allowSingleQuotes": "false"})
+
+
+def is_json(parsed: Column) -> Column:
+    """Whether a parsed reply was JSON at all."""
+    return parsed.isNotNull() & parsed["_corrupt_record"].isNull()
 
 
 def normalised_label(parsed: Column) -> Column:

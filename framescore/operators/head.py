@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from framescore.functions.probability import with_scores
 from framescore.operators.evaluate import f1_scores
 
-# The weight decay and the number of epochs.
+# The weight decay.
 WEIGHT_DECAY = 0.01
-EPOCHS = 5
+
+MAX_ITERATIONS = 100
+GRID = (0.001, WEIGHT_DECAY, 0.1)
 
 
 @dataclass(frozen=True)
@@ -47,11 +49,14 @@ def predict(df: DataFrame, model: LogisticRegressionModel, features: str = "feat
 
 def fit_head(
     df: DataFrame, features: str = "features", label: str = "label",
-    reg: float = WEIGHT_DECAY, epochs: int = 100, tol: float = 1e-6,
+    reg: float = WEIGHT_DECAY, iterations: int = MAX_ITERATIONS, tol: float = 1e-6,
 ) -> LogisticRegressionModel:
-    """Fit logits per class. Gradients are summed on executors; rows stay there."""
+    """Fit logits per class. Gradients are summed on executors; rows stay there.
+
+    ``tol`` stops early, once an iteration improves the fit by no more than that.
+    """
     estimator = LogisticRegression(
-        family="multinomial", regParam=reg, maxIter=epochs, tol=tol,
+        family="multinomial", regParam=reg, maxIter=iterations, tol=tol,
         featuresCol="features", labelCol="label",
     )
     return estimator.fit(_vectors(df, features, label))
@@ -59,7 +64,7 @@ def fit_head(
 
 def fit_best_head(
     rows: DataFrame, features: str = "features", label: str = "label",
-    grid: tuple[float, ...] = (0.001, WEIGHT_DECAY, 0.1), epochs: int = 100,
+    grid: tuple[float, ...] = GRID, iterations: int = MAX_ITERATIONS,
 ) -> Head:
     """Fit one head per regularisation on the train split, keep the best F1 on eval.
 
@@ -68,7 +73,7 @@ def fit_best_head(
     train, held_out = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "eval")
     best: Head | None = None
     for reg in grid:
-        model = fit_head(train, features, label, reg, epochs)
+        model = fit_head(train, features, label, reg, iterations)
         found = f1_scores(predict(held_out, model, features), label).first().asDict()
         if best is None or found["f1_normal"] > best.metrics["f1_normal"]:
             best = Head(

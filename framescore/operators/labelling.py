@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescore.functions.jsonio import label_reply, normalised_label
+from framescore.functions.jsonio import is_json, label_reply, normalised_label
 from framescore.functions.names import stem
 from framescore.functions.staging import compute_once
 from framescore.schema import LABEL_REPLIES, LABELS, SchemaError, validate
 
 REQUIRED = ["image_name", "label", "notes"]
+NOT_JSON = "reply is not JSON"
 
 
 def label_images(images: DataFrame, labeller: Callable[[bytes], str], parallelism: int | None = None) -> DataFrame:
@@ -39,13 +40,12 @@ def label_images(images: DataFrame, labeller: Callable[[bytes], str], parallelis
 
 
 def parse_replies(replies: DataFrame) -> DataFrame:
-    """Replies with their parsed label; a reply that is not usable JSON turns ``ok`` off."""
+    """Replies with their parsed label; a reply that is not JSON turns ``ok`` off."""
     parsed = compute_once(replies, "_reply", label_reply(F.col("raw")))
-    label = normalised_label(F.col("_reply"))
-    ok = F.col("ok") & label.isNotNull()
-    reason = F.coalesce(F.col("error"), F.when(~ok, F.lit("no label in reply")))
+    ok = F.col("ok") & is_json(F.col("_reply"))
+    reason = F.coalesce(F.col("error"), F.when(~ok, F.lit(NOT_JSON)))
     return parsed.select(
-        stem(F.col("name")).alias("image_name"), label.alias("label"),
+        stem(F.col("name")).alias("image_name"), normalised_label(F.col("_reply")).alias("label"),
         F.col("_reply.notes").alias("notes"), ok.alias("ok"), reason.alias("error"),
     )
 

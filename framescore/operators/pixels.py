@@ -240,3 +240,9 @@ def encode_png(image: Column) -> Column:
 def with_dimensions(df: DataFrame, image: str = "image") -> DataFrame:
     """Add the width and height of each image; no pixel is read."""
     return df.withColumns({"width": F.col(f"{image}.width"), "height": F.col(f"{image}.height")})
+
+
+def preview(df: DataFrame, n: int = 5, order: str = "name") -> DataFrame:
+    """The first ``n`` images by ``order``: names, labels and sizes, no pixels."""
+    sized = with_dimensions(df).drop("image")
+    return sized.orderBy(order).limit(n)

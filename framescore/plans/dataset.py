@@ -17,7 +17,7 @@ from framescore.functions.names import (
 )
 from framescore.operators.combine import join_labels, union_all
 from framescore.operators.noise import NOISE_AMOUNT, SALT_SHARE, area_noise, augment_plan, salt_and_pepper
-from framescore.operators.pixels import as_image_column, augment, crop_resize
+from framescore.operators.pixels import as_image_column, augment, crop_resize, flip
 from framescore.operators.sampling import CLASS_TARGETS, FANOUT, balance_classes, fan_out
 from framescore.schema import GOLD, IMAGE_TABLE, NO_PATH, validate
 from framescore.sources.images import decoded, read_images
@@ -63,17 +63,19 @@ def rejected_files(spark: SparkSession, out_dir: str) -> DataFrame:
 
 
 def with_flips(images: DataFrame) -> DataFrame:
-    """Each image and its mirror image, in one scan; an image that is a flip gets none."""
-    doubled = fan_out(images, F.when(is_flipped(F.col("name")), 1).otherwise(2))
-    mirrored = F.col("variant") == 1
-    no_file = mirrored & ~F.col("label").eqNullSafe(NOISY)
-    image = augment(F.col("image"), F.when(mirrored, "horizontal").otherwise(""))
-    return doubled.select(
-        F.when(mirrored, with_suffix(F.col("name"), FLIPPED)).otherwise(F.col("name")).alias("name"),
-        F.when(no_file, NO_PATH).otherwise(F.col("path")).alias("path"),
-        "label",
-        as_image_column(image),
+    """Each image and its mirror image, in one scan; an image that is a flip gets none.
+
+    Each image goes to Python once, for its mirror image; the two rows are made after.
+    """
+    mirrored = images.withColumn("_mirror", flip("horizontal", F.col("image")))
+    own_path = F.when(F.col("label").eqNullSafe(NOISY), F.col("path")).otherwise(NO_PATH)
+    first = F.struct("name", "path", "image")
+    second = F.struct(
+        with_suffix(F.col("name"), FLIPPED).alias("name"), own_path.alias("path"), F.col("_mirror").alias("image")
     )
+    pair = F.when(is_flipped(F.col("name")), F.array(first)).otherwise(F.array(first, second))
+    both = mirrored.select("label", F.inline(pair))
+    return both.select("name", "path", "label", as_image_column(F.col("image")))
 
 
 def noisy_images(images: DataFrame, amount: float = NOISE_AMOUNT, salt_share: float = SALT_SHARE) -> DataFrame:

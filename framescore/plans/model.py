@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.probability import linear_logits
 from framescore.operators.evaluate import prior_baseline
-from framescore.operators.head import Head, fit_best_head
+from framescore.operators.head import GRID, MAX_ITERATIONS, Head, fit_best_head
 from framescore.operators.runlog import log_run
 from framescore.operators.sampling import hash_split
 from framescore.operators.scoring import score_table
@@ -24,7 +24,7 @@ def training_rows(gold: DataFrame, size: int = 8) -> DataFrame:
 
 def train(
     spark: SparkSession, rows: DataFrame, run_dir: str, experiment: str, run_id: str,
-    started: datetime, table: str,
+    started: datetime, table: str, grid: tuple[float, ...] = GRID, iterations: int = MAX_ITERATIONS,
 ) -> Head:
     """Fit the best head and log it next to the untrained baseline.
 
@@ -33,11 +33,11 @@ def train(
     """
     rows = cut_lineage(rows, "features")
     baseline = prior_baseline(rows).first()
-    head = fit_best_head(rows)
+    head = fit_best_head(rows, grid=grid, iterations=iterations)
     metrics = {**head.metrics, "baseline_f1_normal": baseline["f1_normal"]}
     log_run(
         spark, run_dir, experiment, run_id, started,
-        {"reg": str(head.reg)}, metrics, {"Training-Input": table},
+        {"reg": str(head.reg), "iterations": str(iterations)}, metrics, {"Training-Input": table},
     )
     return head
 

@@ -328,7 +328,7 @@ ORACLES: dict[str, str] = {
     ),
     "label_failures": f"WITH {EVENTS} SELECT event_type <> 'error' AS ok, count(*) AS n FROM replies GROUP BY ALL",
     "label_failed_names": (
-        f"WITH {EVENTS} SELECT image_name, 'no label in reply' AS error FROM replies WHERE event_type = 'error'"
+        f"WITH {EVENTS} SELECT image_name, 'reply is not JSON' AS error FROM replies WHERE event_type = 'error'"
     ),
     "bulk_labelling": (
         "WITH sized AS (SELECT 'doc_' || doc_id AS image_name, octet_length(encode(text)) AS n FROM documents) "
@@ -500,6 +500,17 @@ ORACLES: dict[str, str] = {
         "round(stddev_pop(p0), 6) AS std_score, round(min(p0), 6) AS min_score, round(max(p0), 6) AS max_score "
         "FROM scored GROUP BY label"
     ),
+    "sampled_score_stats": (
+        f"WITH {SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM scored) "
+        "SELECT label, count(*) AS n, round(avg(p0), 6) AS mean_score, round(stddev_pop(p0), 6) AS std_score, "
+        "round(min(p0), 6) AS min_score, round(max(p0), 6) AS max_score FROM ranked WHERE rn <= 50 GROUP BY label"
+    ),
+    "score_reply": (
+        "WITH z AS (SELECT event_id, value / 50e0 AS z0, json_extract_string(props, '$.k')::DOUBLE / 25e0 AS z1 FROM events), "
+        "p AS (SELECT event_id, exp(z0 - greatest(z0, z1)) AS e0, exp(z1 - greatest(z0, z1)) AS e1 FROM z) "
+        "SELECT event_id, round(e0 / (e0 + e1), 6) AS anomaly_score, CASE WHEN e0 >= e1 THEN 0 ELSE 1 END AS pred_class, "
+        "round(greatest(e0, e1) / (e0 + e1), 6) AS confidence FROM p"
+    ),
     "score_separation": (
         f"WITH {SCORED}, ends AS (SELECT max(p0) FILTER (label = 1) AS a, min(p0) FILTER (label = 0) AS b FROM scored) "
         "SELECT round(a, 6) AS max_normal, round(b, 6) AS min_abnormal, round(b - a, 6) AS gap, a < b AS separated FROM ends"

@@ -102,11 +102,14 @@ def big_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pictures(spark, sf_dir).withColumn("image", big)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grids(spark, sf_dir)
+def scored_rows(rows: DataFrame) -> DataFrame:
     return with_scores(rows.withColumn("logits", linear_logits(F.col("grid"), HEAD, NO_BIAS)))
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_rows(grids(spark, sf_dir))
+
+
 def r6(column: Column | str) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.round(column.cast("double"), 6)
@@ -337,8 +340,7 @@ def run_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def preview_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = pixels.with_dimensions(pictures(spark, sf_dir))
-    return sized.select("vec_id", "name", "label", "height", "width").orderBy("vec_id").limit(5)
+    return pixels.preview(pictures(spark, sf_dir), 5, "vec_id")
 
 
 @query
@@ -685,6 +687,27 @@ def score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_stats(scored(spark, sf_dir)))
 
 
+@query
+def sampled_score_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of the first 50 rows of each class."""
+    rows = grids(spark, sf_dir)
+    sample = combine.union_all([sampling.sample_class(rows, c, 50, "vec_id") for c in (NORMAL, ABNORMAL)])
+    return _rounded(evaluate.score_stats(scored_rows(sample)))
+
+
+@query
+def score_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a scoring service, made from events, as scores."""
+    first = (F.col("value") / 50).cast("string")
+    second = (F.get_json_object("props", "$.k").cast("double") / 25).cast("string")
+    body = F.concat(F.lit('{"predictions": [['), first, F.lit(", "), second, F.lit("]]}"))
+    rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    done = scoring.score_table(rows, jsonio.predicted_logits(F.col("body")), ["event_id"])
+    return done.select(
+        "event_id", r6("anomaly_score").alias("anomaly_score"), "pred_class", r6("confidence").alias("confidence")
+    )
+
+
 @query
 def score_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_separation(scored(spark, sf_dir)))

@@ -38,6 +38,11 @@ def build_session(
     return builder.getOrCreate()
 
 
+# Per application: its temporary folder in local mode, and whether it has the package.
+_LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
@@ -45,12 +50,14 @@ def shared_dir(spark: SparkSession) -> str:
     a missing setting is an error, since a machine's own disk goes with the machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        named = tempfile.mkdtemp(prefix="framescore-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="framescore-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 def new_shared_path(spark: SparkSession, tag: str) -> str:
@@ -71,10 +78,10 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per session, for its pandas UDFs."""
-    if spark.conf.get("spark.framescore.shipped", None) is None:
+    """Send this package to the executors, once per application, for its pandas UDFs."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="framescore-code-")) / "framescore"
-        shutil.make_archive(str(archive), "zip", root.parent, root.name)
-        spark.sparkContext.addPyFile(f"{archive}.zip")
-        spark.conf.set("spark.framescore.shipped", "true")
+        archive = f"{tempfile.mkdtemp(prefix='framescore-code-')}/{root.name}-{uuid.uuid4().hex}"
+        context.addPyFile(shutil.make_archive(archive, "zip", root.parent, root.name))
+        _SHIPPED.add(context.applicationId)

@@ -8,8 +8,13 @@ from pyspark.sql import types as T
 from framescore.operators.combine import only_new
 from framescore.schema import validate
 
-# A 256x256 image of three channels is 192 KB, so a file stays near 400 MB.
-ROWS_PER_FILE = 2000
+# A 256x256 image of three channels is 192 KB, so a file of images stays near 400 MB.
+IMAGES_PER_FILE = 2000
+
+
+def rows_per_file(df: DataFrame) -> int:
+    """The bound on rows per file: one for images, none (0) for narrow rows."""
+    return IMAGES_PER_FILE if "image" in df.columns else 0
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -18,12 +23,9 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return validate(df, schema) if schema is not None else df
 
 
-def write_table(
-    df: DataFrame, path: str, mode: str = "overwrite",
-    partition_by: list[str] | None = None, rows_per_file: int = ROWS_PER_FILE,
-) -> None:
-    """Write once, in files of bounded size; ``partition_by`` lets readers prune classes."""
-    writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
+    """Write once, images in files of bounded size; ``partition_by`` lets readers prune classes."""
+    writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file(df))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -43,7 +45,7 @@ def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: str, or
 
 def replace_managed(df: DataFrame, table: str) -> None:
     """Write a managed table anew, schema and all."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).saveAsTable(table)
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file(df)).saveAsTable(table)
 
 
 def read_managed(spark: SparkSession, table: str, schema: T.StructType | None = None) -> DataFrame:

@@ -199,7 +199,8 @@ def test_train_and_score(spark, photos, gold):
     rows = model.training_rows(gold)
     rows.write.parquet(f"{photos}/features")
     rows = spark.read.parquet(f"{photos}/features")
-    head = model.train(spark, rows, f"{photos}/runs", "e", "r1", datetime(2024, 1, 1), "gold")
+    head = model.train(spark, rows, f"{photos}/runs", "e", "r1", datetime(2024, 1, 1), "gold",
+                       grid=(0.001, 0.1), iterations=25)
     baseline = evaluate.prior_baseline(rows).first()
     assert head.metrics["f1_macro"] > baseline.f1_macro + 0.1
     scored = model.score(rows, head, ["name", "label", "split"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -276,7 +277,7 @@ def test_stride(spark):
 
 def test_labelling_records_failures(spark):
     files = spark.createDataFrame(
-        [("a.jpg", b"1"), ("b.jpg", b"2"), ("c.jpg", b"3"), ("d.v2.jpg", b"4")], "name string, content binary"
+        [("a.jpg", b"1"), ("b.jpg", b"2"), ("c.jpg", b"3"), ("d.v2.jpg", b"4"), ("e.jpg", b"5")], "name string, content binary"
     )
 
     def labeller(content: bytes) -> str:
@@ -284,15 +285,18 @@ def test_labelling_records_failures(spark):
             raise RuntimeError("429")
         if content == b"2":
             return "cannot tell"
+        if content == b"5":
+            return '{"notes": "empty water"}'
         return '```json\n{"animal": "swan", "notes": "n%s"}\n```' % content.decode()
 
     parsed = labelling.parse_replies(labelling.label_images(files, labeller, parallelism=2))
     got = {r.image_name: (r.label, r.notes, r.ok, r.error) for r in parsed.collect()}
     assert got == {
-        "a": (None, None, False, "429"), "b": (None, None, False, "no label in reply"),
+        "a": (None, None, False, "429"), "b": (None, None, False, "reply is not JSON"),
         "c": ("swan", "n3", True, None), "d.v2": ("swan", "n4", True, None),
+        "e": (None, "empty water", True, None),
     }
-    assert {(r.ok, r.n) for r in labelling.label_summary(parsed).collect()} == {(True, 2), (False, 2)}
+    assert {(r.ok, r.n) for r in labelling.label_summary(parsed).collect()} == {(True, 3), (False, 2)}
 
 
 def test_label_folder(spark, folder):
@@ -365,6 +369,16 @@ def test_run_log(spark, tmp_path):
     assert runlog.read_metrics(spark, f"{tmp_path}").where("metric = 'f1'").count() == 7
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    def session(master):
+        conf = SimpleNamespace(get=lambda key, default: default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("yarn"))
+    assert shared_dir(session("local[2]")) == shared_dir(session("local[2]"))
+
+
 def test_cut_lineage_writes_to_the_named_folder(spark):
     cut = cut_lineage(spark.range(10).withColumn("x", F.rand(1)), "test")
     assert shared_dir(spark) in cut.inputFiles()[0]

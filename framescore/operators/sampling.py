@@ -108,7 +108,11 @@ def frame_step(fps: Column, seconds: float = SECONDS_BETWEEN_FRAMES) -> Column:
 def stride_sample(
     frames: DataFrame, source: str, order: list[str], step: Column | int, max_task_rows: int = MAX_TASK_ROWS
 ) -> DataFrame:
-    """Keep every ``step``-th row of each source and number the kept rows from 1."""
+    """Keep every ``step``-th row of each source and number the kept rows from 1.
+
+    For frames without an index of their own. Run it on narrow rows, before pixels are
+    attached, since ranking moves them.
+    """
     every = step if isinstance(step, Column) else F.lit(max(1, step))
     before = F.col("rank") - 1
     number = F.floor(before / every).cast("bigint") + 1
@@ -120,6 +124,14 @@ def stride_sample(
     )
 
 
+def stride_by_index(frames: DataFrame, index: str, step: Column | int) -> DataFrame:
+    """``stride_sample`` for frames that carry their position from 0: a filter, no shuffle."""
+    every = step if isinstance(step, Column) else F.lit(max(1, step))
+    number = F.floor(F.col(index) / every).cast("bigint") + 1
+    kept = frames.where(F.pmod(F.col(index), every) == 0)
+    return kept.withColumns({"frame_no": number, "frame_name": frame_name(number)})
+
+
 def sample_class(df: DataFrame, value: int, n: int, order: str, label: str = "label") -> DataFrame:
     """The first ``n`` rows of one class in ``order``."""
     return df.where(F.col(label) == value).orderBy(order).limit(n)

@@ -403,6 +403,10 @@ ORACLES: dict[str, str] = {
         "FROM events) SELECT user_id, event_id, before // step + 1 AS frame_no, "
         "'frame_' || format('{:03d}', before // step + 1) || '.jpg' AS frame_name FROM ranked, steps WHERE before % step = 0"
     ),
+    "stride_by_index": (
+        "SELECT conv_id, turn, turn // 2 + 1 AS frame_no, 'frame_' || format('{:03d}', turn // 2 + 1) || '.jpg' "
+        "AS frame_name FROM conversations WHERE turn % 2 = 0"
+    ),
     "grid_flip_h": _cells(GRID, CELLS, "g[(k // 8) * 8 + (7 - k % 8) + 1]"),
     "grid_flip_v": _cells(GRID, CELLS, "g[(7 - k // 8) * 8 + k % 8 + 1]"),
     "grid_rotate": (

@@ -425,6 +425,13 @@ def stride_sample_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("user_id", "event_id", "frame_no", "frame_name")
 
 
+@query
+def stride_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as frames that know their position."""
+    frames = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return sampling.stride_by_index(frames, "turn", sampling.frame_step(F.lit(1.25)))
+
+
 # --- grids --------------------------------------------------------------------------
 
 

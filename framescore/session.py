@@ -69,7 +69,8 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later jobs see fixed rows whatever executors are lost meanwhile, and prune
-    columns and count bytes as for any other Parquet table.
+    columns and count bytes as for any other Parquet table. The folder keeps the table
+    until it is cleared, as it does with Spark's own checkpoints.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, tag)

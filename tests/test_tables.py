@@ -8,7 +8,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
-from pictures import noise, ramp, write_png
+from pictures import arrays, noise, ramp, table, write_png
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -333,6 +333,16 @@ def test_jpeg_files_are_decoded(spark, tmp_path):
         assert (row.image.height, row.image.width, row.image.nChannels) == (7, 12, channels)
 
 
+def test_jpeg_columns_round_trip(spark):
+    pytest.importorskip("PIL")
+    flat = np.full((20, 30, 3), (10, 120, 240), np.uint8)
+    df = table(spark, {"a": flat}).select("name", pixels.encode_jpeg(F.col("image")).alias("content"))
+    back = arrays(df.select("name", pixels.decode_bytes(F.col("content")).alias("image")))["a"]
+    assert np.abs(back.astype(int) - flat).max() < 8
+    bad = df.select(pixels.decode_bytes(F.lit(b"no image")).alias("image"))
+    assert bad.where("image.data is null").count() == 1
+
+
 def test_label_columns_are_demanded(spark):
     with pytest.raises(SchemaError, match="notes"):
         labelling.normalise_labels(spark.createDataFrame([("a", "swan")], "image_name string, animal string"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescore.schema import RUN_INPUTS, RUN_METRICS, RUNS, validate
 
 RECENT = 5
+SCHEMAS = {"runs": RUNS, "run_metrics": RUN_METRICS, "run_inputs": RUN_INPUTS}
 
 
 def log_run(
@@ -17,13 +18,26 @@ def log_run(
     params: dict[str, str], metrics: dict[str, float], inputs: dict[str, str], status: str = "FINISHED",
 ) -> None:
     """Append one run below ``folder``; ``inputs`` maps a context to a table name."""
-    tables = {
-        "runs": ([(experiment, run_id, status, start_time, params)], RUNS),
-        "run_metrics": ([(run_id, k, float(v)) for k, v in metrics.items()], RUN_METRICS),
-        "run_inputs": ([(run_id, k, v) for k, v in inputs.items()], RUN_INPUTS),
+    def rows(values: dict[str, str] | dict[str, float], value: str, key: str) -> Column:
+        pairs = [F.struct(F.lit(k).alias(key), F.lit(v).alias(value)) for k, v in values.items()]
+        return F.inline(F.array(*pairs))
+
+    one = spark.range(0, 1, 1, 1).select(F.lit(run_id).alias("run_id"))
+    settings = [F.lit(x) for pair in params.items() for x in pair]
+    written: dict[str, DataFrame] = {
+        "runs": one.select(
+            F.lit(experiment).alias("experiment"), "run_id", F.lit(status).alias("status"),
+            F.lit(start_time).alias("start_time"),
+            F.create_map(*settings).cast("map<string,string>").alias("params"),
+        ),
     }
-    for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    if metrics:
+        floats = {k: float(v) for k, v in metrics.items()}
+        written["run_metrics"] = one.select("run_id", rows(floats, "value", "metric"))
+    if inputs:
+        written["run_inputs"] = one.select("run_id", rows(inputs, "table_name", "context"))
+    for name, df in written.items():
+        validate(df, SCHEMAS[name]).write.mode("append").parquet(f"{folder}/{name}")
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,19 +48,31 @@ def to_tensor(image: Column, size: int = MODEL_SIZE, normalise: bool = True) ->
     return prepare(image)
 
 
+def pooled(stack: np.ndarray, size: int) -> np.ndarray:
+    """``[n, 3 * size * size]``: mean, least and greatest grey level of each block, in [0, 1]."""
+    h, w = (max(n, size) for n in stack.shape[1:3])
+    grey = resized(bgr(stack), h, w, "nearest").mean(axis=3, dtype=np.float32)
+    rows, cols = (np.arange(size) * n // size for n in (h, w))
+
+    def reduce(ufunc: np.ufunc) -> np.ndarray:
+        return ufunc.reduceat(ufunc.reduceat(grey, rows, axis=1), cols, axis=2)
+
+    area = np.diff(np.append(rows, h))[:, None] * np.diff(np.append(cols, w))
+    blocks = np.stack([reduce(np.add) / area, reduce(np.minimum), reduce(np.maximum)], axis=1)
+    return (blocks / 255).reshape(len(stack), -1).astype(np.float32)
+
+
 def pixel_features(image: Column, size: int = 8) -> Column:
-    """A small grey thumbnail as ``array<float>`` in [0, 1]: features without a network."""
+    """Features without a network, as ``array<float>``: what each block of an image spans."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def shrink(images: pd.DataFrame) -> pd.Series:
+    def pool(images: pd.DataFrame) -> pd.Series:
         out = pd.Series([None] * len(images), dtype=object)
         for index, stack in stacks_of(images):
-            grey = resized(bgr(stack), size, size, "bilinear").mean(axis=3, dtype=np.float32)
-            flat = grey.reshape(len(index), -1) / np.float32(255)
-            out.loc[index] = pd.Series(list(flat), index=index, dtype=object)
+            out.loc[index] = pd.Series(list(pooled(stack, size)), index=index, dtype=object)
         return out
 
-    return shrink(image)
+    return pool(image)
 
 
 def with_shape(df: DataFrame, size: int = MODEL_SIZE) -> DataFrame:

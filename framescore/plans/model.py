@@ -25,11 +25,11 @@ def training_rows(gold: DataFrame, size: int = 8) -> DataFrame:
 def train(
     spark: SparkSession, rows: DataFrame, run_dir: str, experiment: str, run_id: str,
     started: datetime, table: str, grid: tuple[float, ...] = GRID, iterations: int = MAX_ITERATIONS,
-) -> Head:
+) -> tuple[Head, DataFrame]:
     """Fit the best head and log it next to the untrained baseline.
 
-    The feature rows are written first: fitting reads them many times, and they must
-    not be computed from the pixels each time.
+    The feature rows are written first and returned with the head: fitting reads them
+    many times, and they must not be computed from the pixels each time.
     """
     rows = cut_lineage(rows, "features")
     baseline = prior_baseline(rows).first()
@@ -39,7 +39,7 @@ def train(
         spark, run_dir, experiment, run_id, started,
         {"reg": str(head.reg), "iterations": str(iterations)}, metrics, {"Training-Input": table},
     )
-    return head
+    return head, rows
 
 
 def score(rows: DataFrame, head: Head, keep: list[str], features: str = "features") -> DataFrame:

@@ -8,6 +8,7 @@ reads its tables whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,7 @@ from framescore.operators import (
     scoring,
     tensors,
 )
+from framescore.plans import model
 from framescore.schema import ABNORMAL, NO_PATH, NORMAL
 from framescore.session import new_shared_path, ship_package
 from framescore.streaming.score import score_stream, stream_table
@@ -620,8 +622,8 @@ def pixel_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def image_model_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures through preprocessing and a model in one step: 8x8, the head on each channel."""
-    model = scoring.linear_predict([row * 3 for row in HEAD], NO_BIAS)
-    logits = scoring.image_logits(F.col("image"), model, SIDE)
+    loader = scoring.linear_predict([row * 3 for row in HEAD], NO_BIAS)
+    logits = scoring.image_logits(F.col("image"), loader, SIDE)
     rows = pictures(spark, sf_dir).select("vec_id", logits.alias("logits"))
     return rows.select("vec_id", r6(F.col("logits")[0]).alias("z0"), r6(F.col("logits")[1]).alias("z1"))
 
@@ -744,11 +746,30 @@ def baseline_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def head_fit_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit on the train split, score the rest. No SQL form: the fit is iterative."""
     rows = sampling.hash_split(grids(spark, sf_dir).withColumnRenamed("grid", "features"))
-    model = head.fit_head(rows.where(F.col("split") == "train"))
-    held_out = head.predict(rows.where(F.col("split") == "eval"), model)
+    fitted = head.fit_head(rows.where(F.col("split") == "train"))
+    held_out = head.predict(rows.where(F.col("split") == "eval"), fitted)
     return held_out.select("vec_id", "label", "pred_class", r6("anomaly_score").alias("anomaly_score"))
 
 
+@query
+def train_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pictures to a report: damage a copy of each, fit a head, score the held-out rows.
+
+    No SQL form: the fit is iterative.
+    """
+    clean = big_pictures(spark, sf_dir).select("name", "image", F.lit(NORMAL).alias("label"))
+    damaged = noise.salt_and_pepper(clean).withColumns({
+        "name": names.with_suffix(F.col("name"), names.DAMAGED), "label": F.lit(ABNORMAL),
+    })
+    rows = model.training_rows(combine.union_all([clean, damaged]))
+    fitted, rows = model.train(
+        spark, rows, new_shared_path(spark, "runs"), "report", "1", datetime(2024, 1, 1), "pictures",
+        grid=(0.001,), iterations=25,
+    )
+    scores = model.score(rows.where(F.col("split") == "eval"), fitted, ["name", "label"])
+    return _rounded(evaluate.score_stats(scores))
+
+
 @query
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream, scored into a table of the shared folder."""

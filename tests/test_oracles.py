@@ -23,8 +23,13 @@ def test_equals_oracle(spark, con, name):
     assert n > 0
 
 
-def test_all_queries_but_the_fit_have_an_oracle():
-    assert set(QUERIES) - set(ORACLES) == {"head_fit_predict"}
+def test_all_queries_but_the_fits_have_an_oracle():
+    assert set(QUERIES) - set(ORACLES) == {"head_fit_predict", "train_and_report"}
+
+
+def test_trained_scores_tell_damaged_pictures(spark):
+    stats = {r.label: r for r in QUERIES["train_and_report"](spark, SMOKE_DIR).collect()}
+    assert stats[0].mean_score > 0.95 and stats[1].mean_score < 0.05
 
 
 def test_entry(spark):

@@ -270,12 +270,12 @@ def near_classes(docs: DataFrame, scratch: Scratch, least: float = 0.8) -> DataF
     made = scratch.write(texts.select("doc_id", "key", bands_of(prints("text")).alias("bands")), "prints")
     reps = scratch.write(made.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "reps")
 
-    def attach(roles: DataFrame) -> DataFrame:
-        wanted = roles.join(reps.select(F.col("key").alias("k"), "rep"), F.col("key") == F.col("k")).drop("k")
-        return texts.select(F.col("doc_id").alias("rep"), "text", F.col("key").alias("own")).join(wanted, "rep").where("own = key")
+    def read_texts(keys: DataFrame) -> DataFrame:
+        wanted = keys.join(reps.select("key", "rep"), "key")
+        return texts.select(F.col("doc_id").alias("rep"), "text", F.col("key").alias("own")).join(wanted, "rep").where("own = key").select("key", "text")
 
     members = reps.select("key", F.explode(F.array_distinct("bands")).alias("band"))
-    _, named = link_all(members, attach, ["text"], lambda a, b: edit_similarity(a[0], b[0]), least, scratch)
+    _, named = link_all(members, read_texts, lambda rows: rows, lambda a, b: edit_similarity(a[0], b[0]), least, scratch)
     every = reps.select("key", "rep").join(named, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     heads = every.groupBy("component").agg(F.min("rep").alias("class_id"))
     found = made.select("doc_id", "key").join(scratch.write(every.join(heads, "component").select("key", "class_id"), "classes"), "key")

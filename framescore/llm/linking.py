@@ -2,8 +2,9 @@
 
 Nodes are distinct texts. In every bucket the member of least priority is the centre, and each other member is compared
 with it: a bucket of n costs n - 1 pairs. Verified links join nodes into components. Buckets that still hold several
-components are looked at again, until no comparison finds a link: small ones member by member, across components only,
-larger ones around a centre drawn anew for each bucket. So a link is not lost because its bucket's centre is a third text.
+components are looked at again, until no comparison finds a link: small ones member by member, across components; in
+larger ones, the members outside the bucket's largest component are compared with one of its members and with one of their
+own, both drawn anew for each bucket and round. So a link is not lost because its bucket's centre is a third text.
 """
 
 from __future__ import annotations
@@ -41,18 +42,20 @@ def star_pairs(members: DataFrame, priority) -> DataFrame:
     return stars.where("a <> key").select("a", F.col("key").alias("b")).distinct()
 
 
-def verify(pairs: DataFrame, attach: Callable[[DataFrame], DataFrame], payload: list[str], similarity: Callable, least: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, unpack: Callable[[DataFrame], DataFrame], similarity: Callable, least: float) -> DataFrame:
     """(a, b, similarity) of the pairs that are at least ``least`` alike.
 
-    ``attach`` joins the payload columns to rows (key, roles), one per node that takes part. A node's payload is then sent to
-    each group that needs it: the groups of a centre are numbered by a hash of its partners, so a centre with a third
+    ``texts`` is (key, text). ``unpack`` turns rows (key, roles, text), one per node that takes part, into (key, roles) and what
+    ``similarity`` compares. A node is then sent to each group that needs it: the groups of a centre are numbered by a hash of its partners, so a centre with a third
     of all nodes as partners is spread over ``SPREAD`` groups. A group is a stream, the centre first.
     """
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int").alias("salt"))
     member = dealt.select(F.col("b").alias("key"), F.struct("a", "salt", F.lit(1).alias("role")).alias("r"))
     centre = dealt.select(F.col("a").alias("key"), F.struct("a", "salt", F.lit(0).alias("role")).alias("r")).distinct()
     roles = member.unionByName(centre).groupBy("key").agg(F.collect_list("r").alias("roles"))
-    rows = attach(roles).select("key", *payload, F.inline("roles"))
+    ready = unpack(texts.join(roles, "key").select("key", "roles", "text"))
+    payload = [c for c in ready.columns if c not in ("key", "roles")]
+    rows = ready.select("key", *payload, F.inline("roles"))
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(frames):
@@ -75,35 +78,38 @@ def verify(pairs: DataFrame, attach: Callable[[DataFrame], DataFrame], payload:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, component): the least key of each connected component, for keys that have a link.
 
-    Each round takes the least label among a node's neighbours, then the label's own label, so long chains halve. A round
-    writes one narrow table; sums are partial before the shuffle, and both sides of each join are plain tables, so a
-    node with very many links is split.
+    In each round a node takes the least of its own label, its neighbours' labels and its label's label, so long chains halve.
+    A round writes one narrow table. Minima are partial before the shuffle, and both sides of each join are plain tables,
+    so a node with very many links is split.
     """
     edges = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
     labels = scratch.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        new = scratch.write(
-            labels.join(near, "u").select("u", F.least("label", "near").alias("label"), F.col("label").alias("before")), "near"
-        )
-        jump = new.select(F.col("u").alias("label"), F.col("label").alias("next"))
-        done = scratch.write(new.join(jump, "label").select("u", "before", F.least("label", "next").alias("label")), "labels")
-        scratch.drop(new)
-        moved = done.where("label <> before").limit(1).count()
+        own = labels.select("u", "label", F.col("label").alias("before"))
+        none = F.lit(None).cast(labels.schema["label"].dataType)
+        near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").select("u", "label", none.alias("before"))
+        jump = labels.join(labels.select(F.col("u").alias("label"), F.col("label").alias("next")), "label").select("u", F.col("next").alias("label"), none.alias("before"))
+        done = scratch.write(own.union(near).union(jump).groupBy("u").agg(F.min("label").alias("label"), F.min("before").alias("before")), "labels")
         labels = done.select("u", "label")
-        if not moved:
+        if done.where("label <> before").limit(1).count() == 0:
             return labels.select(F.col("u").alias("key"), F.col("label").alias("component"))
 
 
-def link_all(members: DataFrame, attach: Callable, payload: list[str], similarity: Callable, least: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b, similarity), components (key, component)) of nodes that share buckets (band, key)."""
+def link_all(
+    members: DataFrame, read_texts: Callable[[DataFrame], DataFrame], unpack: Callable, similarity: Callable, least: float, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b, similarity), components (key, component)) of nodes that share buckets (band, key).
+
+    ``read_texts`` gives (key, text) for a table of keys. It is called once, for the nodes that share a bucket, and written.
+    """
     held = scratch.write(full_buckets(members), "buckets").select("band", "key")
+    texts = scratch.write(read_texts(held.select("key").distinct()), "texts")
     tested = scratch.write(star_pairs(held, F.xxhash64("key")), "pairs")
-    links = scratch.write(verify(tested, attach, payload, similarity, least), "links")
+    links = scratch.write(verify(tested, texts, unpack, similarity, least), "links")
+    named = components(links, scratch)
     turn = 0
     while True:
         turn += 1
-        named = components(links, scratch)
         seen = held.join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
         # Whether a bucket holds several components is a comparison of two bounds, partial before the shuffle.
         mixed = seen.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
@@ -112,12 +118,40 @@ def link_all(members: DataFrame, attach: Callable, payload: list[str], similarit
         other = small.select("band", F.col("key").alias("b"), F.col("component").alias("cb"))
         pairs = small.join(other, "band").where("component <> cb AND key < b").select(F.col("key").alias("a"), "b")
         large = open_rows.where(F.col("n") > SMALL)
-        order = Window.partitionBy("band").orderBy(F.xxhash64("key", "band", F.lit(turn)), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        stars = large.withColumn("a", F.first("key").over(order)).withColumn("ca", F.first("component").over(order))
-        stars = stars.where("ca <> component").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+        stars = _stragglers(large, turn)
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         fresh = scratch.write(pairs.union(stars).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
-        more = scratch.write(verify(fresh, attach, payload, similarity, least), "links")
+        more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
         if more.limit(1).count() == 0:
             return links, named
-        tested, links = tested.unionByName(fresh), links.unionByName(more)
+        named = _merge(named, more, scratch)
+        # All pairs of small buckets are tested now; and a bucket of one component stays one.
+        tested, links, held = tested.unionByName(fresh), links.unionByName(more), large.select("band", "key")
+
+
+def _stragglers(large: DataFrame, turn: int) -> DataFrame:
+    """(a, b) of large buckets: members outside the largest component, with one inside it and one of their own.
+
+    Sizes and picks are aggregates, partial before the shuffle; at most two pairs a member.
+    """
+    pick = F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("p"), "key")
+    parts = large.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"), F.min(pick).alias("pick"))
+    main = parts.groupBy("band").agg(F.max(F.struct("size", F.col("component"), "pick")).alias("m"))
+    main = main.select("band", F.col("m.component").alias("main"), F.col("m.pick.key").alias("inside"))
+    rest = large.join(main, "band").where("component <> main")
+    own = rest.groupBy("band").agg(F.min(pick).alias("o"), F.min_by("component", pick).alias("co")).select("band", F.col("o.key").alias("own"), "co")
+    both = rest.join(own, "band")
+    pairs = both.select(F.explode(F.array(F.col("inside"), F.when(F.col("co") != F.col("component"), F.col("own")))).alias("a"), F.col("key").alias("b"))
+    return pairs.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _merge(named: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links, which join components: solved on the graph of components alone."""
+    names = lambda side: named.select(F.col("key").alias(side), F.col("component").alias(f"c{side}"))
+    sides = more.join(names("a"), "a", "left").join(names("b"), "b", "left")
+    sides = scratch.write(sides.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "joins")
+    merged = components(sides.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch).withColumnRenamed("key", "old").withColumnRenamed("component", "new")
+    alone = sides.select(F.col("a").alias("key"), F.col("ca").alias("component")).union(sides.select("b", "cb")).where("key = component")
+    every = named.unionByName(alone).distinct()
+    joined = every.join(merged, F.col("component") == F.col("old"), "left")
+    return scratch.write(joined.select("key", F.coalesce("new", "component").alias("component")), "named")

@@ -141,13 +141,13 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFram
     made = scratch.write(sketches(docs), "sketches")
     texts = scratch.write(made.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "texts")
 
-    def attach(roles: DataFrame) -> DataFrame:
-        wanted = roles.join(texts.select(F.col("key").alias("k"), "rep"), F.col("key") == F.col("k")).drop("k")
+    def read_texts(keys: DataFrame) -> DataFrame:
+        wanted = keys.join(texts.select("key", "rep"), "key")
         whole = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-        return _shingle_rows(whole.join(wanted, "rep").where(F.unhex(F.md5("text")) == F.col("key")))
+        return whole.join(wanted, "rep").where(F.unhex(F.md5("text")) == F.col("key")).select("key", "text")
 
     members = texts.select("key", F.explode("bands").alias("band"))
-    _, named = link_all(members, attach, ["elements", "weights"], _similarity, least, scratch)
+    _, named = link_all(members, read_texts, _shingle_rows, _similarity, least, scratch)
     with_reps = texts.select("key", "rep").join(named, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     heads = with_reps.groupBy("component").agg(F.min("rep").alias("class_id"))
     named_texts = scratch.write(with_reps.join(heads, "component").select("key", "class_id"), "classes")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescore.functions.grid import let
@@ -71,7 +71,10 @@ def tensor_request(values: Column, shape: list[int]) -> Column:
     return F.to_json(F.struct(F.struct(tensor.alias("tensor")).alias("inputs")))
 
 
-def predicted_logits(body: Column) -> Column:
-    """The logits of the first prediction in a score reply."""
+def explode_predictions(replies: DataFrame, body: Column) -> DataFrame:
+    """One row per prediction of each reply: ``position`` from 0, ``logits``.
+
+    A reply without predictions, or one that is not JSON, stays as one row with nulls.
+    """
     predictions = F.from_json(body, PREDICTIONS_SCHEMA)["predictions"]
-    return F.try_element_at(predictions, F.lit(1))
+    return replies.select("*", F.posexplode_outer(predictions).alias("position", "logits"))

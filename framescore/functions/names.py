@@ -7,36 +7,28 @@ from pyspark.sql import functions as F
 
 from framescore.schema import CLASS_NAMES, RAW_CLASSES
 
-# The name forms of a dataset.
-JPG_SUFFIX = r"\.jpg$"
-FLIPPED = "_flipped.jpg"
-FLIPPED_PATTERN = r"_flipped\.jpg$"
-TRANSPOSED = "_tr.jpg"
-DAMAGED = "_damaged.jpg"
-NOISY_ENDING = "_noisy"
+# The endings that mark a variant of an image.
+FLIPPED, TRANSPOSED, DAMAGED, NOISY = "_flipped", "_tr", "_damaged", "_noisy"
+FLIPPED_PATTERN = r"_flipped(\.[^./]*)?$"
+ROOT_PATTERN = r"(?:_tr\d*|_flipped|_damaged|_noisy)+(\.[^./]*)?$"
 FRAME_FORMAT = "frame_%03d.jpg"
 
 
-def image_name(stem: Column) -> Column:
-    """The join key of a label row: its stem with the extension added."""
-    return F.concat(stem, F.lit(".jpg"))
+def with_ending(name: Column, ending: Column | str) -> Column:
+    """Put ``ending`` before the last extension, whichever it is: ``a.jpg`` becomes ``a_flipped.jpg``."""
+    end = ending if isinstance(ending, Column) else F.lit(ending)
+    extension = F.regexp_extract(name, r"[^/](\.[^./]*)$", 1)
+    return F.concat(F.substring(name, F.lit(1), F.length(name) - F.length(extension)), end, extension)
 
 
-def with_suffix(name: Column, suffix: str) -> Column:
-    """Replace the trailing ``.jpg``, and only that, by ``suffix``."""
-    return F.regexp_replace(name, JPG_SUFFIX, suffix)
-
-
-def with_ending(name: Column, ending: str) -> Column:
-    """Put ``ending`` before the last extension, whichever it is."""
-    return F.regexp_replace(name, r"^(.*?)(\.[^./]*)?$", f"$1{ending}$2")
+def with_variant(name: Column, variant: Column, prefix: str = "_tr") -> Column:
+    """Name variant ``i`` of an image: ``a.jpg`` becomes ``a_tr{i}.jpg``, ``b.png`` becomes ``b_tr{i}.png``."""
+    return with_ending(name, F.concat(F.lit(prefix), variant.cast("string")))
 
 
-def with_variant(name: Column, variant: Column, prefix: str = "_tr") -> Column:
-    """Name variant ``i`` of an image: ``a.jpg`` becomes ``a_tr{i}.jpg``."""
-    return F.regexp_replace(
-        name, F.lit(JPG_SUFFIX), F.concat(F.lit(prefix), variant.cast("string"), F.lit(".jpg"))
-    )
+def root(name: Column) -> Column:
+    """The name of the image that a variant was made from: all variant endings taken off."""
+    return F.regexp_replace(name, ROOT_PATTERN, "$1")
 
 
 def is_flipped(name: Column) -> Column:

@@ -17,10 +17,5 @@ def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle narrow rows by ``key`` when there are fewer input tasks than cores.
-
-    For small tables ahead of heavy work on each row. A table of many files has tasks
-    enough and passes through as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal narrow rows to all tasks by ``key``, ahead of heavy work on each row; the same plan for tables of any size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

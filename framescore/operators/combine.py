@@ -7,41 +7,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescore.functions.names import image_name
+from framescore.functions.names import stem
 
 
 def label_keys(labels: DataFrame) -> DataFrame:
-    """Labels as ``name, label`` with the join key derived from the stem."""
-    return labels.select(image_name(F.col("image_name")).alias("name"), "label")
+    """Labels as ``stem, label``: a label file names an image without its extension."""
+    return labels.select(F.col("image_name").alias("stem"), "label")
 
 
 def join_labels(images: DataFrame, labels: DataFrame, salt_by: Column | None = None, salts: int = 16) -> DataFrame:
     """Images with their label; unlabelled images stay, with a null label.
 
+    The key is the name without its last extension, so ``a.jpg``, ``a.PNG`` and ``a`` take the label of ``a``.
     A stale ``label`` column is dropped first, and an image with several label rows
     comes out once per row. No side is hinted: Spark broadcasts the labels only when
     it knows their size, and otherwise splits a hot image name at run time. Where
     adaptive execution is off, ``salt_by`` (any column that varies inside a name)
     spreads each name over ``salts`` partitions and repeats the narrow label rows.
     """
-    left, right = images.drop("label"), label_keys(labels)
+    kept = [c for c in images.columns if c != "label"]
+    left, right = images.drop("label").withColumn("stem", stem(F.col("name"))), label_keys(labels)
     if salt_by is None:
-        return left.join(right, "name", "left")
+        return left.join(right, "stem", "left").select(*kept, "label")
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, ["name", "_salt"], "left").drop("_salt")
+    return left.join(right, ["stem", "_salt"], "left").select(*kept, "label")
 
 
 def label_counts(images: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows per label of ``join_labels``, without building its rows.
 
-    Both sides are counted per name before the join, so a name that holds a third of
+    Both sides are counted per stem before the join, so a name that holds a third of
     all rows costs one row here.
     """
-    left = images.groupBy("name").agg(F.count(F.lit(1)).alias("_images"))
-    right = label_keys(labels).groupBy("name", "label").agg(F.count(F.lit(1)).alias("_labels"))
+    left = images.groupBy(stem(F.col("name")).alias("stem")).agg(F.count(F.lit(1)).alias("_images"))
+    right = label_keys(labels).groupBy("stem", "label").agg(F.count(F.lit(1)).alias("_labels"))
     rows = F.col("_images") * F.coalesce(F.col("_labels"), F.lit(1))
-    return left.join(right, "name", "left").groupBy("label").agg(F.sum(rows).alias("n"))
+    return left.join(right, "stem", "left").groupBy("label").agg(F.sum(rows).alias("n"))
 
 
 def union_all(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:

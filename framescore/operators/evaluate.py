@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from framescore.schema import ABNORMAL, NORMAL
 
 
-def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-
-
 def row_counts(df: DataFrame, label: str = "label") -> DataFrame:
     """All rows, and the rows of each class, in one row."""
     return df.agg(

@@ -28,6 +28,8 @@ class Head:
     reg: float
     metrics: dict[str, float]
     model: LogisticRegressionModel
+    # Evaluation of every value of the grid, the kept one among them.
+    tried: dict[float, dict[str, float]]
 
 
 def _vectors(df: DataFrame, features: str, label: str) -> DataFrame:
@@ -55,11 +57,35 @@ def fit_head(
 
     ``tol`` stops early, once an iteration improves the fit by no more than that.
     """
+    return fit_vectors(_vectors(df, features, label), reg, iterations, tol)
+
+
+def fit_vectors(vectors: DataFrame, reg: float, iterations: int, tol: float = 1e-6) -> LogisticRegressionModel:
+    """``fit_head`` for ``features, label`` as Spark ML takes them; persist them when several heads are fitted."""
     estimator = LogisticRegression(
-        family="multinomial", regParam=reg, maxIter=iterations, tol=tol,
+        family="multinomial", regParam=reg, maxIter=iterations, tol=tol, standardization=False,
         featuresCol="features", labelCol="label",
     )
-    return estimator.fit(_vectors(df, features, label))
+    return estimator.fit(vectors)
+
+
+def gradient(
+    df: DataFrame, model: LogisticRegressionModel, reg: float, features: str = "features", label: str = "label"
+) -> DataFrame:
+    """``class, feature, slope``: the slope of the penalised mean loss at the fitted weights.
+
+    With ``reg`` above 0 the best weights are unique, and there every slope is 0.
+    """
+    weights = model.coefficientMatrix.toArray()
+    table = [(k, j, float(w)) for k, row in enumerate(weights) for j, w in enumerate(row)]
+    n = len(weights)
+    rows = predict(df, model, features)
+    error = [F.col("probs")[k] - (F.col(label) == k).cast("double") for k in range(n)]
+    cells = rows.select(*[e.alias(f"e{k}") for k, e in enumerate(error)], F.posexplode(F.col(features).cast("array<double>")).alias("feature", "x"))
+    sums = cells.groupBy("feature").agg(*[F.avg(F.col(f"e{k}") * F.col("x")).alias(f"g{k}") for k in range(n)])
+    long = sums.select("feature", F.posexplode(F.array(*[F.col(f"g{k}") for k in range(n)])).alias("class", "mean"))
+    known = df.sparkSession.createDataFrame(table, "class int, feature int, weight double")
+    return long.join(F.broadcast(known), ["class", "feature"]).select("class", "feature", (F.col("mean") + reg * F.col("weight")).alias("slope"))
 
 
 def fit_best_head(
@@ -71,13 +97,16 @@ def fit_best_head(
     ``rows`` has ``split`` (see ``hash_split``), so every head sees the same rows.
     """
     train, held_out = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "eval")
+    vectors = _vectors(train, features, label).persist()
     best: Head | None = None
+    tried: dict[float, dict[str, float]] = {}
     for reg in grid:
-        model = fit_head(train, features, label, reg, iterations)
-        found = f1_scores(predict(held_out, model, features), label).first().asDict()
+        model = fit_vectors(vectors, reg, iterations)
+        tried[reg] = found = f1_scores(predict(held_out, model, features), label).first().asDict()
         if best is None or found["f1_normal"] > best.metrics["f1_normal"]:
             best = Head(
                 model.coefficientMatrix.toArray().tolist(), model.interceptVector.toArray().tolist(),
-                reg, found, model,
+                reg, found, model, tried,
             )
+    vectors.unpersist()
     return best

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from framescore.functions.jsonio import is_json, label_reply, normalised_label
 from framescore.functions.names import stem
 from framescore.functions.staging import compute_once
-from framescore.schema import LABEL_REPLIES, LABELS, SchemaError, validate
+from framescore.schema import LABEL_REPLIES, LABELS, validate
 
-REQUIRED = ["image_name", "label", "notes"]
 NOT_JSON = "reply is not JSON"
 
 
@@ -55,9 +54,6 @@ def normalise_labels(df: DataFrame) -> DataFrame:
     if "animal" in df.columns:
         label = F.coalesce(F.col("label"), F.col("animal")) if "label" in df.columns else F.col("animal")
         df = df.withColumn("label", label)
-    missing = [c for c in REQUIRED if c not in df.columns]
-    if missing:
-        raise SchemaError(f"missing required columns in label data: {missing}")
     return validate(df, LABELS)
 
 

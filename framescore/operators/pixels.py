@@ -8,7 +8,6 @@ follow each other in a plan share one trip to Python. Nothing is shuffled.
 
 from __future__ import annotations
 
-import io
 import struct
 import zlib
 from collections.abc import Callable, Hashable
@@ -37,13 +36,18 @@ WEIGHT_BITS = 22
 Kernel = Callable[[np.ndarray, Hashable], np.ndarray]
 
 
+def has_pixels(images: pd.DataFrame) -> pd.Series:
+    """True for rows whose struct holds a decoded image."""
+    return images["data"].notna() & (images["height"].fillna(0).astype(float) > 0)
+
+
 def on_stacks(images: pd.DataFrame, keys: pd.Series | None, kernel: Kernel) -> pd.DataFrame:
     """Run ``kernel(stack, key)`` on each stack ``[n, h, w, c]`` of one size and key.
 
-    Rows without pixels or without a key come out as they are.
+    Rows without pixels, files that could not be decoded (height -1) and rows without a key come out as they are.
     """
     out = images.astype(object).where(images.notna(), None).reset_index(drop=True)
-    present = out[out["data"].notna()]
+    present = out[has_pixels(out)]
     by = [present[c] for c in ("height", "width", "nChannels")]
     if keys is not None:
         by.append(keys.reset_index(drop=True).loc[present.index])
@@ -233,45 +237,11 @@ def encode_png(image: Column) -> Column:
     @F.pandas_udf(T.BinaryType())
     def encode(images: pd.DataFrame) -> pd.Series:
         columns = zip(images["height"], images["width"], images["nChannels"], images["data"])
-        return pd.Series([None if d is None else _png(int(h), int(w), int(c), d) for h, w, c, d in columns])
+        return pd.Series([_png(int(h), int(w), int(c), d) if ok else None for ok, (h, w, c, d) in zip(has_pixels(images), columns)])
 
     return encode(image)
 
 
-@F.pandas_udf(IMAGE)
-def decode_bytes(contents: pd.Series) -> pd.DataFrame:
-    """Encoded image bytes, such as a table's JPEG column, as image structs; needs Pillow.
-
-    Bytes that are no image give a struct of nulls.
-    """
-    from PIL import Image
-
-    def decoded(content: bytes | None) -> tuple:
-        try:
-            rgb = np.asarray(Image.open(io.BytesIO(content)).convert("RGB"))
-        except (OSError, TypeError):
-            return (None,) * len(IMAGE)
-        return "", *rgb.shape, MODES[3], rgb[..., ::-1].tobytes()
-
-    return pd.DataFrame([decoded(c) for c in contents], columns=IMAGE.names, dtype=object)
-
-
-@F.pandas_udf(T.BinaryType())
-def encode_jpeg(images: pd.DataFrame) -> pd.Series:
-    """Image structs as JPEG bytes; needs Pillow."""
-    from PIL import Image
-
-    def encoded(h: float, w: float, c: float, data: bytes | None) -> bytes | None:
-        if data is None:
-            return None
-        pixels = np.frombuffer(data, np.uint8).reshape(1, int(h), int(w), int(c))
-        out = io.BytesIO()
-        Image.fromarray(np.ascontiguousarray(bgr(pixels)[0, ..., ::-1])).save(out, format="JPEG")
-        return out.getvalue()
-
-    return pd.Series([encoded(*row) for row in zip(*(images[c] for c in ("height", "width", "nChannels", "data")))])
-
-
 def with_dimensions(df: DataFrame, image: str = "image") -> DataFrame:
     """Add the width and height of each image; no pixel is read."""
     return df.withColumns({"width": F.col(f"{image}.width"), "height": F.col(f"{image}.height")})

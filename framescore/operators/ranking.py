@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,40 +9,18 @@ from pyspark.sql import functions as F
 
 from framescore.session import cut_lineage
 
-# A group up to this size is sorted in one task.
-MAX_TASK_ROWS = 5_000_000
 
-
-def exact_rank(
-    df: DataFrame, group: list[str], order: list[str], name: str = "rank",
-    max_task_rows: int = MAX_TASK_ROWS,
-) -> DataFrame:
+def exact_rank(df: DataFrame, group: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Add the 1-based position of each row in its group.
 
-    ``group + order`` must identify a row. The group sizes are counted first, reading
-    the group columns only. Where all are small enough, one window does it; where one
-    is not, the ranking is spread. A limit of 0 always spreads.
-    """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if largest <= max_task_rows:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = math.ceil(total / max_task_rows) if max_task_rows else tasks
-    return spread_rank(df, group, order, name, max(tasks, needed))
-
-
-def spread_rank(df: DataFrame, group: list[str], order: list[str], name: str, ranges: int) -> DataFrame:
-    """``exact_rank`` for groups too large for one task.
-
-    The rows are range-partitioned on group and order, so a large group covers many
-    tasks, and are numbered in place; then each (group, range) block is shifted by the
-    rows its group has in earlier ranges. The block table has at most one row per
-    group and range, so no group has more blocks to sum than there are ranges.
+    ``group + order`` must identify a row. The rows are range-partitioned on group and order, so a large group covers many
+    tasks, and are numbered in place; then each (group, range) block is shifted by the rows its group has in
+    earlier ranges. The block table has at most one row per group and range, so no group has more blocks to
+    sum than there are ranges. One plan for groups of every size.
     """
     keys = [*group, *order]
     placed = cut_lineage(
-        df.repartitionByRange(ranges, *keys)
+        df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_range", F.shiftright("_pos", 33).cast("int")),

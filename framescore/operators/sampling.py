@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framescore.functions.names import frame_name, with_variant
 from framescore.functions.seeds import draw
-from framescore.operators.ranking import MAX_TASK_ROWS, exact_rank
+from framescore.operators.ranking import exact_rank
 from framescore.schema import ABNORMAL, NORMAL
 
 # Class targets, variants per image, the share held out for
@@ -17,6 +17,9 @@ FANOUT = 5
 EVAL_ONE_IN = 5
 SECONDS_BETWEEN_FRAMES = 2.0
 
+# Copies of a row that one task makes in a run.
+CHUNK = 256
+
 
 def hash_split(df: DataFrame, key: str = "name", one_in: int = EVAL_ONE_IN) -> DataFrame:
     """Add ``split``: ``eval`` for about one key in ``one_in``, else ``train``."""
@@ -26,19 +29,38 @@ def hash_split(df: DataFrame, key: str = "name", one_in: int = EVAL_ONE_IN) -> D
 
 def stratified_split(
     df: DataFrame, key: str = "name", label: str = "label", one_in: int = EVAL_ONE_IN,
-    max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
     """``key, label, split`` with exactly ``ceil(n / one_in)`` eval rows in each class."""
     keyed = df.select(key, label).withColumn("_draw", F.md5(F.col(key)))
-    ranked = exact_rank(keyed, [label], ["_draw", key], max_task_rows=max_task_rows)
+    ranked = exact_rank(keyed, [label], ["_draw", key])
     held_out = F.pmod(F.col("rank") - 1, F.lit(one_in)) == 0
     return ranked.select(key, label, F.when(held_out, "eval").otherwise("train").alias("split"))
 
 
 def fan_out(df: DataFrame, copies: Column | int, first: int = 0) -> DataFrame:
-    """``copies`` rows per row, numbered in ``variant``; one scan, no shuffle."""
+    """``copies`` rows per row, numbered in ``variant``.
+
+    Copies are made in chunks of at most ``CHUNK``. A fixed small number needs one chunk, one scan and no shuffle; where the
+    number is a column, the chunks are dealt to all tasks first, so a row moves once per chunk and no task makes
+    more than a few chunks of one row.
+    """
     n = copies if isinstance(copies, Column) else F.lit(copies)
-    return df.withColumn("variant", F.explode(F.sequence(F.lit(first), (n - 1 + first).cast("int"))))
+    if isinstance(copies, int) and copies <= CHUNK:
+        return df.withColumn("variant", F.explode(F.sequence(F.lit(first), F.lit(copies - 1 + first))))
+    chunks = F.ceil(n / F.lit(CHUNK)).cast("int")
+    dealt = (
+        df.withColumn("_n", n.cast("int")).where(F.col("_n") > 0)
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_keys(df), "_chunk")
+    )
+    start = F.col("_chunk") * CHUNK
+    inside = F.sequence(start, F.least(start + CHUNK, F.col("_n")) - 1)
+    return dealt.withColumn("variant", F.explode(F.transform(inside, lambda i: i + first))).drop("_n", "_chunk")
+
+
+def _keys(df: DataFrame) -> list[str]:
+    """The narrow columns of a table: those that may decide where a row goes."""
+    return [f.name for f in df.schema if f.dataType.simpleString() in ("string", "int", "bigint")]
 
 
 def class_repetitions(df: DataFrame, targets: dict[int, int], label: str = "label") -> DataFrame:
@@ -76,7 +98,8 @@ def balance_classes(
     ``exact`` adds the copies that the floor leaves missing, to the first rows in md5
     order of the name. ``include_original`` keeps each source row as variant -1. The
     tables joined in have one row per target class, so they are broadcast; the image
-    rows themselves are never shuffled.
+    rows move once per chunk of copies (``fan_out``). Rows of classes without a target, and of no class, stay
+    once, as variant 0.
     """
     reps = class_repetitions(df, targets, label)
     copies, mark = F.col("reps"), F.struct(F.md5(F.col(name)), F.col(name))
@@ -92,9 +115,12 @@ def balance_classes(
         )
         reps = reps.join(last, label, "left")
         copies = copies + F.when(mark <= F.col("_last"), 1).otherwise(0)
-    joined = df.join(F.broadcast(reps), label)
-    varied = fan_out(joined, copies + 1, -1) if include_original else fan_out(joined, copies)
-    renamed = F.when(F.col("variant") < 0, F.col(name)).otherwise(with_variant(F.col(name), F.col("variant")))
+    aimed = F.col("reps").isNotNull()
+    joined = df.join(F.broadcast(reps), label, "left")
+    copies = F.when(aimed, copies + 1 if include_original else copies).otherwise(1)
+    varied = fan_out(joined, copies).withColumn("variant", F.col("variant") - F.when(aimed, int(include_original)).otherwise(0))
+    as_is = (F.col("variant") < 0) | ~aimed
+    renamed = F.when(as_is, F.col(name)).otherwise(with_variant(F.col(name), F.col("variant")))
     return varied.withColumns({"source_name": F.col(name), name: renamed}).select(
         *df.columns, "source_name", "variant"
     )
@@ -106,7 +132,7 @@ def frame_step(fps: Column, seconds: float = SECONDS_BETWEEN_FRAMES) -> Column:
 
 
 def stride_sample(
-    frames: DataFrame, source: str, order: list[str], step: Column | int, max_task_rows: int = MAX_TASK_ROWS
+    frames: DataFrame, source: str, order: list[str], step: Column | int
 ) -> DataFrame:
     """Keep every ``step``-th row of each source and number the kept rows from 1.
 
@@ -117,7 +143,7 @@ def stride_sample(
     before = F.col("rank") - 1
     number = F.floor(before / every).cast("bigint") + 1
     return (
-        exact_rank(frames, [source], order, max_task_rows=max_task_rows)
+        exact_rank(frames, [source], order)
         .where(F.pmod(before, every) == 0)
         .withColumns({"frame_no": number, "frame_name": frame_name(number)})
         .drop("rank")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescore.functions.indexmaps import MODEL_SIZE
-from framescore.operators.pixels import bgr, resized
+from framescore.operators.pixels import bgr, has_pixels, resized
 
 # The channel mean and deviation a model input is normalised with.
 MEAN, STD = 0.5, 0.5
@@ -28,7 +28,7 @@ def tensor_stack(stack: np.ndarray, size: int = MODEL_SIZE, normalise: bool = Tr
 def stacks_of(images: pd.DataFrame) -> Iterator[tuple[pd.Index, np.ndarray]]:
     """The valid images of a batch by size, with their positions."""
     images = images.reset_index(drop=True)
-    present = images[images["data"].notna()]
+    present = images[has_pixels(images)]
     for (h, w, c), rows in present.groupby(["height", "width", "nChannels"], sort=False):
         pixels = np.frombuffer(b"".join(rows["data"]), np.uint8)
         yield rows.index, pixels.reshape(len(rows), int(h), int(w), int(c))
@@ -74,7 +74,3 @@ def pixel_features(image: Column, size: int = 8) -> Column:
 
     return pool(image)
 
-
-def with_shape(df: DataFrame, size: int = MODEL_SIZE) -> DataFrame:
-    """Add the tensor shape with its leading batch axis."""
-    return df.withColumn("shape", F.lit([1, 3, size, size]))

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from framescore.functions.names import (
     DAMAGED,
     FLIPPED,
-    NOISY_ENDING,
+    NOISY as NOISY_ENDING,
+    root,
     class_id,
     is_flipped,
     with_ending,
-    with_suffix,
     with_variant,
 )
 from framescore.operators.combine import join_labels, union_all
@@ -71,7 +71,7 @@ def with_flips(images: DataFrame) -> DataFrame:
     own_path = F.when(F.col("label").eqNullSafe(NOISY), F.col("path")).otherwise(NO_PATH)
     first = F.struct("name", "path", "image")
     second = F.struct(
-        with_suffix(F.col("name"), FLIPPED).alias("name"), own_path.alias("path"), F.col("_mirror").alias("image")
+        with_ending(F.col("name"), FLIPPED).alias("name"), own_path.alias("path"), F.col("_mirror").alias("image")
     )
     pair = F.when(is_flipped(F.col("name")), F.array(first)).otherwise(F.array(first, second))
     both = mirrored.select("label", F.inline(pair))
@@ -92,7 +92,7 @@ def abnormal_images(images: DataFrame) -> DataFrame:
         as_image_column(augment(F.col("image"), augment_plan(F.col("name"), F.col("variant")))),
     )
     damaged = salt_and_pepper(images.where(F.col("label") == CLEAN)).select(
-        with_suffix(F.col("name"), DAMAGED).alias("name"), F.lit(NO_PATH).alias("path"), "label",
+        with_ending(F.col("name"), DAMAGED).alias("name"), F.lit(NO_PATH).alias("path"), "label",
         as_image_column(F.col("image")),
     )
     return union_all([noisy, damaged])
@@ -111,6 +111,7 @@ def gold(
     ])
     copies = balance_classes(sources, targets, exact=exact)
     plan = augment_plan(F.col("source_name"), F.col("variant"))
-    rows = copies.withColumn("image", as_image_column(augment(F.col("image"), plan)))
+    # Variants of one frame are told by its name, so that a split can keep them on one side.
+    rows = copies.withColumn("image", as_image_column(augment(F.col("image"), plan))).withColumn("source_name", root(F.col("name")))
     write_table(validate(rows, GOLD), f"{out_dir}/gold", partition_by=["label"])
     return read_table(spark, f"{out_dir}/gold", GOLD)

@@ -5,13 +5,15 @@ from __future__ import annotations
 from framescore.plans.queries import BIG, CELLS, FPS, SIDE, TARGETS, THRESHOLDS
 
 IMG = (
-    "img AS (SELECT doc_id, 'doc_' || doc_id || '.jpg' AS name, "
-    "'lake:/images/doc_' || doc_id || '.jpg' AS path FROM documents)"
+    "img AS (SELECT doc_id, 'doc_' || doc_id || ['.jpg', '.JPG', '.png', '.jpeg'][doc_id % 4 + 1] AS name, "
+    "'lake:/images/' || name AS path FROM documents)"
+)
+LAB = "lab AS (SELECT 'doc_' || doc_id AS stem, quality AS label FROM labels)"
+JOINED = (
+    f"{IMG}, {LAB}, joined AS (SELECT i.*, l.label FROM img i LEFT JOIN lab l ON regexp_replace(i.name, '\\.[^.]*$', '') = l.stem)"
 )
-LAB = "lab AS (SELECT 'doc_' || doc_id || '.jpg' AS name, quality AS label FROM labels)"
-JOINED = f"{IMG}, {LAB}, joined AS (SELECT i.*, l.label FROM img i LEFT JOIN lab l ON i.name = l.name)"
 GRID = (
-    "grid AS (SELECT vec_id, 'vec_' || vec_id || '.jpg' AS name, "
+    "grid AS (SELECT vec_id, 'vec_' || vec_id || ['.jpg', '.JPG', '.png', '.jpeg'][vec_id % 4 + 1] AS name, "
     "CASE WHEN label < 2 THEN 0 ELSE 1 END AS label, embedding::DOUBLE[] AS g FROM embeddings)"
 )
 LEVELS = (
@@ -202,25 +204,25 @@ def _augment() -> str:
 
 
 def _patch_plan(height: int, width: int) -> str:
-    def band(size: int, first: str, last: str, tag: str) -> str:
-        def clamp(v: str, low: str, high: str) -> str:
-            return f"greatest({low}, least({v}, {high}))"
-
-        mid_low = clamp(f"floor({size} * 35e-2)", "r", f"{size} - r")
-        mid_high = clamp(f"floor({size} * 55e-2)", "r + 1", f"{size} - r")
-        low = f"CASE WHEN edge = '{last}' THEN least({size} - r - 1, floor({size} * 75e-2)) ELSE r END"
-        high = f"CASE WHEN edge = '{first}' THEN greatest(r + 1, floor({size} * 25e-2)) ELSE {size} - r END"
+    # Each band as fractions of the width and of the height.
+    bands = (
+        "bands_of(edge, x0, x1, y0, y1) AS (VALUES ('centre', 35e-2, 55e-2, 35e-2, 55e-2), ('left', 0e0, 25e-2, 0e0, 1e0), "
+        "('right', 75e-2, 1e0, 0e0, 1e0), ('top', 0e0, 1e0, 0e0, 25e-2), ('bottom', 0e0, 1e0, 75e-2, 1e0)), "
+    )
+
+    def span(size: int, axis: str) -> str:
+        low, high = f"greatest(r, floor({size} * {axis}0))", f"least({size} - r, floor({size} * {axis}1))"
         return (
-            f"(CASE WHEN i = 0 THEN {mid_low} ELSE {low} END)::INTEGER AS {tag}_low, "
-            f"(CASE WHEN i = 0 THEN {mid_high} ELSE {high} END)::INTEGER AS {tag}_high"
+            f"(CASE WHEN {low} < {high} THEN {low} ELSE r END)::INTEGER AS {axis}_low, "
+            f"(CASE WHEN {low} < {high} THEN {high} ELSE greatest(r + 1, {size} - r) END)::INTEGER AS {axis}_high"
         )
 
     key = "name || '|' || i || '|'"
     return (
-        f"picked AS (SELECT vec_id, name, i::INTEGER AS i, greatest(5, floor(sqrt(500 / pi())))::INTEGER AS r, "
+        f"{bands}picked AS (SELECT vec_id, name, i::INTEGER AS i, greatest(5, floor(sqrt(500 / pi())))::INTEGER AS r, "
         f"CASE WHEN i = 0 THEN 'centre' ELSE ['left', 'right', 'top', 'bottom'][{h(key + ' || ' + repr('edge'))} % 4 + 1] "
         f"END AS edge FROM (SELECT *, unnest(range({h('name || ' + repr('|extras'))} % 7 + 1)) AS i FROM grid)), "
-        f"bands AS (SELECT *, {band(width, 'left', 'right', 'x')}, {band(height, 'top', 'bottom', 'y')} FROM picked), "
+        f"bands AS (SELECT *, {span(width, 'x')}, {span(height, 'y')} FROM picked JOIN bands_of USING (edge)), "
         f"patches AS (SELECT vec_id, name, i AS patch, edge, "
         f"(x_low + {h(key + ' || ' + repr('x'))} % (x_high - x_low))::INTEGER AS cx, "
         f"(y_low + {h(key + ' || ' + repr('y'))} % (y_high - y_low))::INTEGER AS cy, r AS radius, "
@@ -300,13 +302,13 @@ ORACLES: dict[str, str] = {
     "filter_class": f"WITH {JOINED} SELECT name, label FROM joined WHERE label = 1",
     "variant_guard_rlike": (
         f"WITH {IMG}, every_row AS (SELECT name FROM img UNION ALL "
-        "SELECT regexp_replace(name, '\\.jpg$', '_flipped.jpg') FROM img) "
-        "SELECT name FROM every_row WHERE NOT regexp_matches(name, '_flipped\\.jpg$')"
+        "SELECT regexp_replace(name, '(\\.[^.]*)$', '_flipped\\1') FROM img) "
+        "SELECT name FROM every_row WHERE NOT regexp_matches(name, '_flipped\\.[^.]*$')"
     ),
     "rename_suffix": (
-        f"WITH {IMG} SELECT name, regexp_replace(name, '\\.jpg$', '_flipped.jpg') AS flipped, "
-        "regexp_replace(name, '\\.jpg$', '_tr.jpg') AS transposed, "
-        "regexp_replace(name, '\\.jpg$', '_damaged.jpg') AS damaged FROM img"
+        f"WITH {IMG} SELECT name, regexp_replace(name, '(\\.[^.]*)$', '_flipped\\1') AS flipped, "
+        "regexp_replace(name, '(\\.[^.]*)$', '_tr\\1') AS transposed, "
+        "regexp_replace(name, '(\\.[^.]*)$', '_damaged\\1') AS damaged FROM img"
     ),
     "label_encode": (
         f"WITH {JOINED}, named AS (SELECT name, label, CASE label WHEN 0 THEN 'abnormal' WHEN 1 THEN 'normal' END "
@@ -341,17 +343,17 @@ ORACLES: dict[str, str] = {
     ),
     "union_variants": (
         f"WITH {IMG} SELECT name, path FROM img UNION ALL "
-        "SELECT regexp_replace(name, '\\.jpg$', '_flipped.jpg'), 'n/a' FROM img UNION ALL SELECT name, path FROM img"
+        "SELECT regexp_replace(name, '(\\.[^.]*)$', '_flipped\\1'), 'n/a' FROM img UNION ALL SELECT name, path FROM img"
     ),
     "union_missing_cols": (
-        f"WITH {IMG}, {LAB} SELECT name, path, NULL::INTEGER AS label FROM img UNION ALL SELECT name, NULL, label FROM lab"
+        f"WITH {IMG}, {LAB} SELECT name, path, NULL::INTEGER AS label FROM img UNION ALL SELECT stem, NULL, label FROM lab"
     ),
     "dedup_by_name": (
         f"WITH {IMG}, twice AS (SELECT name, path, s AS source FROM img, (VALUES (0), (1)) t(s)), "
         "ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, source) AS rn FROM twice) "
         "SELECT name, path, source FROM ranked WHERE rn = 1"
     ),
-    "append_new_only": f"WITH {IMG}, {LAB} SELECT name, path FROM img WHERE name NOT IN (SELECT name FROM lab)",
+    "append_new_only": f"WITH {JOINED} SELECT name, path FROM joined WHERE label IS NULL",
     "recent_runs_topk": (
         "SELECT event_id AS run_id, event_type AS status, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS start_time "
         "FROM events ORDER BY ts DESC, event_id LIMIT 5"
@@ -381,18 +383,18 @@ ORACLES: dict[str, str] = {
         "count(*) FILTER (label = 1) AS n_normal FROM split GROUP BY split"
     ),
     "variant_fanout": (
-        f"WITH {GRID} SELECT regexp_replace(name, '\\.jpg$', '_tr' || v || '.jpg') AS name, 'n/a' AS path, "
+        f"WITH {GRID} SELECT regexp_replace(name, '(\\.[^.]*)$', '_tr' || v || '\\1') AS name, 'n/a' AS path, "
         "v::INTEGER AS variant FROM grid, unnest(range(5)) t(v) WHERE label = 0"
     ),
     "class_balance_replicate": (
-        f"WITH {REPS} SELECT regexp_replace(name, '\\.jpg$', '_tr' || v || '.jpg') AS name, label, "
+        f"WITH {REPS} SELECT regexp_replace(name, '(\\.[^.]*)$', '_tr' || v || '\\1') AS name, label, "
         "name AS source_name, v::INTEGER AS variant FROM (SELECT grid.name, grid.label, unnest(range(reps)) AS v "
         "FROM grid JOIN reps USING (label))"
     ),
     "class_balance_exact": (
         f"WITH {REPS}, ranked AS (SELECT name, label, reps, greatest(0, target - reps * n_source) AS missing, "
         "row_number() OVER (PARTITION BY label ORDER BY md5(name), name) AS rn FROM grid JOIN reps USING (label)) "
-        "SELECT regexp_replace(name, '\\.jpg$', '_tr' || v || '.jpg') AS name, label, name AS source_name, "
+        "SELECT regexp_replace(name, '(\\.[^.]*)$', '_tr' || v || '\\1') AS name, label, name AS source_name, "
         "v::INTEGER AS variant FROM (SELECT name, label, "
         "unnest(range(reps + CASE WHEN rn <= missing THEN 1 ELSE 0 END)) AS v FROM ranked)"
     ),
@@ -490,7 +492,8 @@ ORACLES: dict[str, str] = {
         "round(g[k + 1], 6) AS flat FROM grid, unnest(range(64)) t(k)"
     ),
     "score_response_parse": (
-        "SELECT event_id, round(value, 6) AS z0, round(json_extract_string(props, '$.k')::DOUBLE, 6) AS z1 FROM events"
+        "SELECT event_id, unnest(range(event_id % 3 + 1))::INTEGER AS position, round(value, 6) AS z0, "
+        "round(json_extract_string(props, '$.k')::DOUBLE, 6) AS z1 FROM events"
     ),
     "linear_head_logits": f"WITH {SCORED} SELECT vec_id, round(z0, 6) AS z0, round(z1, 6) AS z1 FROM scored",
     "softmax_scores": (

@@ -41,6 +41,8 @@ QUERIES: dict[str, Query] = {}
 
 SIDE = 8
 CELLS = SIDE * SIDE
+# File names of the tables' images end in these in turn.
+EXTENSIONS = (".jpg", ".JPG", ".png", ".jpeg")
 SCHEME = "lake"
 THRESHOLDS = [0.1, 0.25, 0.5, 0.75, 0.9]
 HEAD = [[((7 * i + 13 * c) % 11 - 5) / 2 for i in range(CELLS)] for c in range(2)]
@@ -66,8 +68,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extension(number: Column) -> Column:
+    """File names of a table have four extensions."""
+    return F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.pmod(number, F.lit(len(EXTENSIONS))) + 1).cast("int"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), extension(F.col("doc_id")))
     path = F.concat(F.lit(f"{SCHEME}:/images/"), name)
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), path.alias("path"))
 
@@ -84,7 +91,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, name, label, grid``: classes below 2 are abnormal."""
     label = F.when(F.col("label") < 2, ABNORMAL).otherwise(NORMAL)
-    name = F.concat(F.lit("vec_"), F.col("vec_id").cast("string"), F.lit(".jpg"))
+    name = F.concat(F.lit("vec_"), F.col("vec_id").cast("string"), extension(F.col("vec_id")))
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", name.alias("name"), label.alias("label"), F.col("embedding").alias("grid")
     )
@@ -174,7 +181,7 @@ def filter_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flipped(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        "name": names.with_suffix(F.col("name"), names.FLIPPED), "path": F.lit(NO_PATH),
+        "name": names.with_ending(F.col("name"), names.FLIPPED), "path": F.lit(NO_PATH),
     })
 
 
@@ -190,9 +197,9 @@ def rename_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("name")
     return images(spark, sf_dir).select(
         "name",
-        names.with_suffix(name, names.FLIPPED).alias("flipped"),
-        names.with_suffix(name, names.TRANSPOSED).alias("transposed"),
-        names.with_suffix(name, names.DAMAGED).alias("damaged"),
+        names.with_ending(name, names.FLIPPED).alias("flipped"),
+        names.with_ending(name, names.TRANSPOSED).alias("transposed"),
+        names.with_ending(name, names.DAMAGED).alias("damaged"),
     )
 
 
@@ -296,7 +303,8 @@ def union_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def union_missing_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = images(spark, sf_dir).select("name", "path")
-    return combine.union_all([left, combine.label_keys(labels(spark, sf_dir))], allow_missing=True)
+    right = combine.label_keys(labels(spark, sf_dir)).withColumnRenamed("stem", "name")
+    return combine.union_all([left, right], allow_missing=True)
 
 
 @query
@@ -308,7 +316,7 @@ def dedup_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def append_new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = combine.label_keys(labels(spark, sf_dir)).select("name")
+    known = labelled(spark, sf_dir).where(F.col("label").isNotNull()).select("name")
     incoming = images(spark, sf_dir).select("name", "path")
     return combine.only_new(incoming, known, "name", ["path"])
 
@@ -372,7 +380,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stratified_split_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the ranking for classes too large for one task."""
-    return sampling.stratified_split(grids(spark, sf_dir), max_task_rows=0)
+    return sampling.stratified_split(grids(spark, sf_dir))
 
 
 @query
@@ -423,7 +431,7 @@ def stride_sample_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the ranking for sources too large for one task."""
     frames = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     step = sampling.frame_step(F.lit(FPS))
-    kept = sampling.stride_sample(frames, "user_id", ["ts", "event_id"], step, max_task_rows=0)
+    kept = sampling.stride_sample(frames, "user_id", ["ts", "event_id"], step)
     return kept.select("user_id", "event_id", "frame_no", "frame_name")
 
 
@@ -634,7 +642,7 @@ def noisy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = combine.union_all([
         images(spark, sf_dir).select("name"), table(spark, sf_dir, "pages").select(F.col("url").alias("name")),
     ])
-    return paths.select("name", names.with_ending(name, names.NOISY_ENDING).alias("noisy"))
+    return paths.select("name", names.with_ending(name, names.NOISY).alias("noisy"))
 
 
 @query
@@ -660,9 +668,12 @@ def score_payload_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def score_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, second = F.col("value").cast("string"), F.get_json_object("props", "$.k")
-    body = F.concat(F.lit('{"predictions": [['), first, F.lit(", "), second, F.lit("]]}"))
-    rows = table(spark, sf_dir, "events").select("event_id", jsonio.predicted_logits(body).alias("logits"))
-    return rows.select("event_id", r6(F.col("logits")[0]).alias("z0"), r6(F.col("logits")[1]).alias("z1"))
+    # One to three predictions in a reply.
+    one = F.concat(F.lit("["), first, F.lit(", "), second, F.lit("]"))
+    count = (F.pmod(F.col("event_id"), F.lit(3)) + 1).cast("int")
+    body = F.concat(F.lit('{"predictions": ['), F.array_join(F.array_repeat(one, count), ", "), F.lit("]}"))
+    rows = jsonio.explode_predictions(table(spark, sf_dir, "events").select("event_id", body.alias("body")), F.col("body"))
+    return rows.select("event_id", "position", r6(F.col("logits")[0]).alias("z0"), r6(F.col("logits")[1]).alias("z1"))
 
 
 @query
@@ -710,8 +721,8 @@ def score_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = (F.col("value") / 50).cast("string")
     second = (F.get_json_object("props", "$.k").cast("double") / 25).cast("string")
     body = F.concat(F.lit('{"predictions": [['), first, F.lit(", "), second, F.lit("]]}"))
-    rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
-    done = scoring.score_table(rows, jsonio.predicted_logits(F.col("body")), ["event_id"])
+    rows = jsonio.explode_predictions(table(spark, sf_dir, "events").select("event_id", body.alias("body")), F.col("body"))
+    done = scoring.score_table(rows, F.col("logits"), ["event_id"])
     return done.select(
         "event_id", r6("anomaly_score").alias("anomaly_score"), "pred_class", r6("confidence").alias("confidence")
     )
@@ -759,12 +770,11 @@ def train_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     clean = big_pictures(spark, sf_dir).select("name", "image", F.lit(NORMAL).alias("label"))
     damaged = noise.salt_and_pepper(clean).withColumns({
-        "name": names.with_suffix(F.col("name"), names.DAMAGED), "label": F.lit(ABNORMAL),
+        "name": names.with_ending(F.col("name"), names.DAMAGED), "label": F.lit(ABNORMAL),
     })
     rows = model.training_rows(combine.union_all([clean, damaged]))
     fitted, rows = model.train(
         spark, rows, new_shared_path(spark, "runs"), "report", "1", datetime(2024, 1, 1), "pictures",
-        grid=(0.001,), iterations=25,
     )
     scores = model.score(rows.where(F.col("split") == "eval"), fitted, ["name", "label"])
     return _rounded(evaluate.score_stats(scores))

@@ -35,6 +35,7 @@ IMAGE_TABLE = T.StructType([
 
 GOLD = T.StructType([
     T.StructField("name", T.StringType()),
+    T.StructField("source_name", T.StringType()),
     T.StructField("path", T.StringType()),
     T.StructField("label", T.IntegerType()),
     T.StructField("image", IMAGE),
@@ -75,6 +76,22 @@ RUN_INPUTS = T.StructType([
     T.StructField("table_name", T.StringType()),
 ])
 
+# What a stored head needs to score anywhere: a row per class.
+HEADS = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("class", T.IntegerType()),
+    T.StructField("weights", T.ArrayType(T.DoubleType())),
+    T.StructField("bias", T.DoubleType()),
+    T.StructField("reg", T.DoubleType()),
+])
+
+CONFUSION = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("label", T.IntegerType()),
+    T.StructField("pred_abnormal", T.LongType()),
+    T.StructField("pred_normal", T.LongType()),
+])
+
 # The class ids, the raw class names and the preview annotation.
 ABNORMAL, NORMAL = 0, 1
 CLASS_NAMES = {ABNORMAL: "abnormal", NORMAL: "normal"}

@@ -8,16 +8,32 @@ from pyspark.sql import functions as F
 from framescore.functions.names import basename
 from framescore.schema import IMAGE
 
-# The image extensions a listing takes.
-IMAGE_GLOB = "*.{jpg,jpeg,png}"
+# The image extensions a listing takes, in any case.
+EXTENSIONS = ("jpg", "jpeg", "png")
+IMAGE_GLOB = "*.{%s}" % ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS)
+IMAGE_NAME = r"(?i)\.(%s)$" % "|".join(EXTENSIONS)
 
+Folders = str | list[str]
 
-def list_images(spark: SparkSession, folder: str, glob: str = IMAGE_GLOB) -> DataFrame:
-    """``name, path`` of the image files in a folder; no file content is read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+
+def list_images(spark: SparkSession, folder: Folders, glob: str = IMAGE_GLOB, recursive: bool = False) -> DataFrame:
+    """``name, path`` of the image files in one or several folders; no file content is read.
+
+    ``recursive`` takes sub-folders too. The driver holds the list of files of a call, so a very large
+    collection is split into folders and ingested in several calls.
+    """
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", glob)
+        .option("recursiveFileLookup", recursive).load(folder)
+    )
     return files.select(basename(F.col("path")).alias("name"), "path")
 
 
+def other_files(spark: SparkSession, folder: Folders, recursive: bool = False) -> DataFrame:
+    """``name, path`` of the files that a listing leaves out, so that none goes unseen."""
+    return list_images(spark, folder, "*", recursive).where(~F.col("name").rlike(IMAGE_NAME))
+
+
 def require_images(listing: DataFrame, folder: str) -> DataFrame:
     """The listing sorted by name, or an error when it is empty."""
     if listing.isEmpty():
@@ -25,13 +41,13 @@ def require_images(listing: DataFrame, folder: str) -> DataFrame:
     return listing.orderBy("name")
 
 
-def read_image_bytes(spark: SparkSession, folder: str, glob: str = IMAGE_GLOB) -> DataFrame:
+def read_image_bytes(spark: SparkSession, folder: Folders, glob: str = IMAGE_GLOB) -> DataFrame:
     """``name, path, content``: the files as they are, for a labeller."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     return files.select(basename(F.col("path")).alias("name"), "path", "content")
 
 
-def read_images(spark: SparkSession, folder: str, glob: str = IMAGE_GLOB) -> DataFrame:
+def read_images(spark: SparkSession, folder: Folders, glob: str = IMAGE_GLOB) -> DataFrame:
     """``name, path, image``, decoded by Spark in the JVM.
 
     A file that cannot be decoded comes out with height -1; see ``valid`` and ``rejects``.

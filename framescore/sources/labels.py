@@ -40,7 +40,10 @@ def read_labels(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
 
 
 def read_label_documents(spark: SparkSession, path: str) -> DataFrame:
-    """JSON documents keyed by image stem, one row per image."""
+    """JSON documents keyed by image stem, one row per image.
+
+    A document is one value, read by one task: a form for import. Tables of labels are kept as JSON lines or Parquet.
+    """
     documents = spark.read.text(path, wholetext=True)
     entries = documents.select(F.explode(F.from_json("value", LABEL_DOCUMENT)).alias("image_name", "entry"))
     return entries.select(
@@ -48,6 +51,11 @@ def read_label_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_labels_json(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_labels_json`` writes: one object per line, so a file is read by many tasks."""
+    return spark.read.schema(LABELS).option("mode", "FAILFAST").json(path)
+
+
 def write_labels_csv(labels: DataFrame, path: str) -> None:
     """Labels with a header and every field quoted; an earlier run's output is replaced."""
     writer = labels.select(*LABELS.names).write.mode("overwrite").option("header", True)

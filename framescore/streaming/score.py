@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framescore.functions.indexmaps import MODEL_SIZE
 from framescore.operators.scoring import Predict, image_logits, score_table
-from framescore.sources.images import stream_images, valid
+from framescore.sources.images import decoded, stream_images
 from framescore.sources.tables import append_new
 
 FILES_PER_BATCH = 1000
@@ -40,9 +40,12 @@ def score_image_stream(
     spark: SparkSession, folder: str, make_predict: Callable[[], Predict],
     path: str, checkpoint: str, size: int = MODEL_SIZE,
 ) -> StreamingQuery:
-    """Score image files as they land in a folder."""
-    images = valid(stream_images(spark, folder))
-    return score_stream(images, image_logits(F.col("image"), make_predict, size), ["name", "path"], path, checkpoint)
+    """Score image files as they land in a folder.
+
+    A file that cannot be decoded comes out too, with null scores and ``ok`` false.
+    """
+    images = stream_images(spark, folder).withColumn("ok", decoded(F.col("image")))
+    return score_stream(images, image_logits(F.col("image"), make_predict, size), ["name", "path", "ok"], path, checkpoint)
 
 
 def append_new_stream(stream: DataFrame, path: str, key: str, order: list[str], checkpoint: str) -> StreamingQuery:

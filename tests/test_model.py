@@ -58,9 +58,10 @@ def test_requests(spark):
 
 
 def test_score_reply(spark):
-    assert one(spark, jsonio.predicted_logits(F.lit('{"predictions": [[-2.17, 3.16]]}'))) == [-2.17, 3.16]
-    assert one(spark, jsonio.predicted_logits(F.lit('{"predictions": []}'))) is None
-    assert one(spark, jsonio.predicted_logits(F.lit("oops"))) is None
+    bodies = [(1, '{"predictions": [[-2.17, 3.16], [1.0, 2.0]]}'), (2, '{"predictions": []}'), (3, "oops"), (4, None)]
+    rows = jsonio.explode_predictions(spark.createDataFrame(bodies, "id int, body string"), F.col("body")).collect()
+    got = sorted(((r.id, r.position, r.logits) for r in rows), key=str)
+    assert got == [(1, 0, [-2.17, 3.16]), (1, 1, [1.0, 2.0]), (2, None, None), (3, None, None), (4, None, None)]
 
 
 def test_data_url_has_no_line_breaks(spark):
@@ -230,13 +231,15 @@ def test_image_stream_equals_batch(spark, photos, tmp_path):
     batch = scoring.score_table(
         valid(read_images(spark, f"{photos}/images")), scoring.image_logits(F.col("image"), image_model, 32), ["name", "path"]
     )
-    streamed = {r.name: r.anomaly_score for r in spark.read.parquet(f"{tmp_path}/scores").collect()}
+    rows = spark.read.parquet(f"{tmp_path}/scores").collect()
+    assert [(r.name, r.anomaly_score) for r in rows if not r.ok] == [("cut.jpg", None)]
+    streamed = {r.name: r.anomaly_score for r in rows if r.ok}
     assert streamed == {r.name: r.anomaly_score for r in batch.collect()} and len(streamed) == 9
     query = streaming.score_image_stream(
         spark, f"{photos}/images", image_model, f"{tmp_path}/scores", f"{tmp_path}/progress", size=32
     )
     query.awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/scores").count() == 9
+    assert spark.read.parquet(f"{tmp_path}/scores").count() == 10
 
 
 def test_streamed_append_adds_each_key_once(spark, tmp_path):

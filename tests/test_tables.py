@@ -12,6 +12,7 @@ from pictures import arrays, noise, ramp, table, write_png
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from framescore.functions import names
 from framescore.operators import combine, labelling, pixels, ranking, runlog, sampling
 from framescore.plans.dataset import noisy_images
 from framescore.plans.labelling import label_folder
@@ -195,26 +196,25 @@ def test_union_by_name(spark):
     assert combine.union_all([a, a.drop("path")], allow_missing=True).where("path is null").count() == 1
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_rank_of_a_hot_group(spark, limit):
+def test_rank_of_a_hot_group(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2).cast("int").alias("source"),
         (F.col("id") * 7919 % 5003).alias("ts"), "id",
     )
-    ranked = ranking.exact_rank(df, ["source"], ["ts", "id"], max_task_rows=limit).toPandas()
+    ranked = ranking.exact_rank(df, ["source"], ["ts", "id"]).toPandas()
     expected = ranked.sort_values(["source", "ts", "id"]).groupby("source").cumcount() + 1
     assert (ranked["rank"] == expected.sort_index()).all() and len(ranked) == 5000
 
 
 def test_rank_spreads_one_group_over_tasks(spark):
     df = spark.range(4000).select(F.lit(1).alias("g"), F.col("id"))
-    assert sorted(r["rank"] for r in ranking.spread_rank(df, ["g"], ["id"], "rank", 9).collect()) == list(range(1, 4001))
+    ranked = ranking.exact_rank(df, ["g"], ["id"])
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 4001))
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_rank_keeps_rows_without_a_group(spark, limit):
+def test_rank_keeps_rows_without_a_group(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), (7, 2)], "g int, id int")
-    got = {tuple(r) for r in ranking.exact_rank(df, ["g"], ["id"], max_task_rows=limit).collect()}
+    got = {tuple(r) for r in ranking.exact_rank(df, ["g"], ["id"]).collect()}
     assert got == {(None, 1, 1), (None, 3, 2), (7, 2, 1)}
 
 
@@ -333,14 +333,50 @@ def test_jpeg_files_are_decoded(spark, tmp_path):
         assert (row.image.height, row.image.width, row.image.nChannels) == (7, 12, channels)
 
 
-def test_jpeg_columns_round_trip(spark):
-    pytest.importorskip("PIL")
-    flat = np.full((20, 30, 3), (10, 120, 240), np.uint8)
-    df = table(spark, {"a": flat}).select("name", pixels.encode_jpeg(F.col("image")).alias("content"))
-    back = arrays(df.select("name", pixels.decode_bytes(F.col("content")).alias("image")))["a"]
-    assert np.abs(back.astype(int) - flat).max() < 8
-    bad = df.select(pixels.decode_bytes(F.lit(b"no image")).alias("image"))
-    assert bad.where("image.data is null").count() == 1
+def test_undecodable_rows_pass_through(spark):
+    df = table(spark, {"a": np.zeros((4, 4, 3), np.uint8)})
+    bad = F.struct(F.lit("").alias("origin"), *[F.lit(-1).alias(c) for c in ("height", "width", "nChannels", "mode")], F.lit(b"").alias("data"))
+    rows = df.select("name", "image").union(df.select(F.lit("bad"), bad))
+    done = {r.name: r for r in rows.select("name", pixels.resize(F.col("image"), 2, 2).alias("i"), pixels.encode_png(F.col("image")).alias("png")).collect()}
+    assert done["a"].i.height == 2 and done["bad"].i.height == -1 and done["bad"].png is None
+
+
+@pytest.mark.parametrize("name, stem", [("a.jpg", "a"), ("b.PNG", "b"), ("c.d.jpeg", "c.d"), ("e", "e")])
+def test_labels_and_names_for_any_extension(spark, name, stem):
+    listing = spark.createDataFrame([(name,)], "name string")
+    known = spark.createDataFrame([(stem, "swan", None)], "image_name string, label string, notes string")
+    assert combine.join_labels(listing, known).first().label == "swan"
+    end = name[len(stem):]
+    made = listing.select(names.with_ending(F.col("name"), "_flipped").alias("f"), names.with_variant(F.col("name"), F.lit(3)).alias("v")).first()
+    assert (made.f, made.v) == (f"{stem}_flipped{end}", f"{stem}_tr3{end}")
+    again = listing.select(names.root(F.lit(made.f)), names.root(F.lit(made.v)), names.is_flipped(F.lit(made.f))).first()
+    assert tuple(again) == (name, name, True)
+
+
+def test_files_are_listed_in_any_case_and_others_reported(spark, tmp_path):
+    for name in ("a.jpg", "b.JPG", "c.Png", "notes.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.jpeg").write_bytes(b"x")
+    listed = lambda df: sorted(r.name for r in df.collect())
+    assert listed(images.list_images(spark, str(tmp_path))) == ["a.jpg", "b.JPG", "c.Png"]
+    assert listed(images.list_images(spark, str(tmp_path), recursive=True)) == ["a.jpg", "b.JPG", "c.Png", "d.jpeg"]
+    assert listed(images.other_files(spark, str(tmp_path))) == ["notes.txt"]
+
+
+def test_rows_without_a_target_stay_once(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 7), ("d", None)], "name string, label int")
+    got = sampling.balance_classes(df, {0: 3, 1: 1}).groupBy("source_name").count().collect()
+    assert {r.source_name: r["count"] for r in got} == {"a": 3, "b": 1, "c": 1, "d": 1}
+    assert "c" in {r.name for r in sampling.balance_classes(df, {0: 3, 1: 1}).collect()}
+
+
+def test_copies_of_one_row_cover_many_tasks(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1)], "name string, label int")
+    copies = sampling.balance_classes(df, {0: 200_000, 1: 1}).withColumn("task", F.spark_partition_id())
+    tasks = {r.task: r["count"] for r in copies.groupBy("task").count().collect()}
+    assert sum(tasks.values()) == 200_001 and len(tasks) >= 4 and max(tasks.values()) < 100_000
+    assert copies.select("name").distinct().count() == 200_001
 
 
 def test_label_columns_are_demanded(spark):

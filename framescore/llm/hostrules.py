@@ -35,8 +35,8 @@ LEAST = 0.01
 # Whole numbers only, so that any engine decides alike.
 HOST_RULES: dict[str, str] = {
     "symbols": "10 * n_symbols > n_words",
-    "lines": "10 * n_dup_lines > 3 * n_lines",
-    "repeats": "10 * n_repeat_words > 2 * n_words",
+    "lines": "10 * n_dup_lines > 5 * n_lines",
+    "repeats": "10 * n_repeat_words > 3 * n_words",
     "lengths": "word_chars < 3 * n_words OR word_chars > 12 * n_words",
 }
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -144,8 +144,8 @@ m AS (
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN li USING (doc_id) LEFT JOIN cov USING (doc_id)),
 f AS (
-  SELECT *, unnest([struct_pack(rule := 1, fails := 10 * n_symbols > n_words), struct_pack(rule := 2, fails := 10 * n_dup_lines > 3 * n_lines),
-         struct_pack(rule := 3, fails := 10 * n_repeat_words > 2 * n_words),
+  SELECT *, unnest([struct_pack(rule := 1, fails := 10 * n_symbols > n_words), struct_pack(rule := 2, fails := 10 * n_dup_lines > 5 * n_lines),
+         struct_pack(rule := 3, fails := 10 * n_repeat_words > 3 * n_words),
          struct_pack(rule := 4, fails := word_chars < 3 * n_words OR word_chars > 12 * n_words)], recursive := true)
   FROM m),
 h AS (

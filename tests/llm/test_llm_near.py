@@ -119,13 +119,13 @@ def test_chains_beat_all_ordered_subsets():
         at, other = np.array([r.randint(0, 60) for _ in range(n)]), np.array([r.randint(0, 60) for _ in range(n)])
 
         def score(chain):
-            return 6 * len(chain) - 0.1 * sum((at[j] - at[i]) + (other[j] - other[i]) for i, j in zip(chain, chain[1:]))
+            return 6 * len(chain) - passages.GAP * sum((at[j] - at[i]) + (other[j] - other[i]) for i, j in zip(chain, chain[1:]))
 
         best = 0.0
         for mask in range(1, 1 << n):
             chain = sorted((i for i in range(n) if mask >> i & 1), key=lambda i: (at[i], other[i]))
             steps = list(zip(chain, chain[1:]))
-            if all(at[i] < at[j] and other[i] < other[j] and at[j] - at[i] <= 40 and other[j] - other[i] <= 40 for i, j in steps):
+            if all(at[i] < at[j] and other[i] < other[j] and at[j] - at[i] <= passages.MAX_GAP and other[j] - other[i] <= passages.MAX_GAP for i, j in steps):
                 best = max(best, score(chain))
         got = passages.chains(at, other)
         assert sorted(i for c in got for i in c) == list(range(n))

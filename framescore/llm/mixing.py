@@ -112,9 +112,11 @@ def materialise(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix itself: each document's row once per repetition, the partial one cut after its last taken word.
 
     Keeps the columns of ``docs``; n_chars, if there is one, counts the text that is taken. Documents of size 0 go.
-    A doc_id must name one text here; rows of a doc_id that differ in text are each matched by their hash.
+    Rows are matched by doc_id and text; equal rows are all taken as often as the one that is taken most.
     """
-    plan = taken.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "whole", "part", F.col("size").alias("_size")).distinct()
+    plan = taken.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.max("whole").alias("whole"), F.max("part").alias("part"), F.max("size").alias("_size")
+    )
     keyed = docs.withColumn("_text_hash", F.md5(F.coalesce(F.col("text"), F.lit(""))))
     joined = keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
     copies = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("whole") + (F.col("part") > 0).cast("int"))

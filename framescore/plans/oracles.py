@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from framescore.functions.indexmaps import SOURCE_OF, TRANSFORMS
 from framescore.plans.queries import BIG, CELLS, FPS, SIDE, TARGETS, THRESHOLDS
 
 IMG = (
@@ -59,9 +60,7 @@ SPLIT = (
     f"{GRID}, split AS (SELECT name, label, "
     f"CASE WHEN {h('name')} % 5 = 0 THEN 'eval' ELSE 'train' END AS split FROM grid)"
 )
-OPS = (
-    "ops AS (SELECT unnest(['horizontal', 'vertical', 'rotate_90', 'rotate_180', 'rotate_270', 'squash&skew']) AS op)"
-)
+OPS = f"ops AS (SELECT unnest({TRANSFORMS!r}) AS op)"
 
 
 def _counts_values() -> str:
@@ -168,7 +167,7 @@ def _turn(op: str, k: str = "k") -> str:
     }[op]
 
 
-TURNS = ["horizontal", "vertical", "rotate_90", "rotate_180", "rotate_270"]
+TURNS = list(SOURCE_OF)
 
 
 def _plan(variants: int) -> str:

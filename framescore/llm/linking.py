@@ -82,14 +82,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     A round writes one narrow table. Minima are partial before the shuffle, and both sides of each join are plain tables,
     so a node with very many links is split.
     """
-    edges = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
-    labels = scratch.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    edges = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges", narrow=True)
+    labels = scratch.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels", narrow=True)
     while True:
         own = labels.select("u", "label", F.col("label").alias("before"))
         none = F.lit(None).cast(labels.schema["label"].dataType)
         near = edges.join(labels.select(F.col("u").alias("v"), "label"), "v").select("u", "label", none.alias("before"))
         jump = labels.join(labels.select(F.col("u").alias("label"), F.col("label").alias("next")), "label").select("u", F.col("next").alias("label"), none.alias("before"))
-        done = scratch.write(own.union(near).union(jump).groupBy("u").agg(F.min("label").alias("label"), F.min("before").alias("before")), "labels")
+        done = scratch.write(own.union(near).union(jump).groupBy("u").agg(F.min("label").alias("label"), F.min("before").alias("before")), "labels", narrow=True)
         labels = done.select("u", "label")
         if done.where("label <> before").limit(1).count() == 0:
             return labels.select(F.col("u").alias("key"), F.col("label").alias("component"))
@@ -104,7 +104,7 @@ def link_all(
     """
     held = scratch.write(full_buckets(members), "buckets").select("band", "key")
     texts = scratch.write(read_texts(held.select("key").distinct()), "texts")
-    tested = scratch.write(star_pairs(held, F.xxhash64("key")), "pairs")
+    tested = scratch.write(star_pairs(held, F.xxhash64("key")), "pairs", narrow=True)
     links = scratch.write(verify(tested, texts, unpack, similarity, least), "links")
     named = components(links, scratch)
     turn = 0
@@ -113,14 +113,14 @@ def link_all(
         seen = held.join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
         # Whether a bucket holds several components is a comparison of two bounds, partial before the shuffle.
         mixed = seen.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "n")
-        open_rows = scratch.write(seen.join(mixed, "band"), "open")
+        open_rows = scratch.write(seen.join(mixed, "band"), "open", narrow=True)
         small = open_rows.where(F.col("n") <= SMALL).select("band", "key", "component")
         other = small.select("band", F.col("key").alias("b"), F.col("component").alias("cb"))
         pairs = small.join(other, "band").where("component <> cb AND key < b").select(F.col("key").alias("a"), "b")
         large = open_rows.where(F.col("n") > SMALL)
         stars = _stragglers(large, turn)
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = scratch.write(pairs.union(stars).distinct().join(known, ["a", "b"], "left_anti"), "pairs")
+        fresh = scratch.write(pairs.union(stars).distinct().join(known, ["a", "b"], "left_anti"), "pairs", narrow=True)
         more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
         if more.limit(1).count() == 0:
             return links, named
@@ -149,9 +149,9 @@ def _merge(named: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
     """Components after further links, which join components: solved on the graph of components alone."""
     names = lambda side: named.select(F.col("key").alias(side), F.col("component").alias(f"c{side}"))
     sides = more.join(names("a"), "a", "left").join(names("b"), "b", "left")
-    sides = scratch.write(sides.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "joins")
+    sides = scratch.write(sides.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "joins", narrow=True)
     merged = components(sides.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch).withColumnRenamed("key", "old").withColumnRenamed("component", "new")
     alone = sides.select(F.col("a").alias("key"), F.col("ca").alias("component")).union(sides.select("b", "cb")).where("key = component")
     every = named.unionByName(alone).distinct()
     joined = every.join(merged, F.col("component") == F.col("old"), "left")
-    return scratch.write(joined.select("key", F.coalesce("new", "component").alias("component")), "named")
+    return scratch.write(joined.select("key", F.coalesce("new", "component").alias("component")), "named", narrow=True)

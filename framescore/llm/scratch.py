@@ -26,8 +26,13 @@ class Scratch:
         self.spark, self.base, self.paths = spark, new_shared_path(spark, tag), {}
         _OPEN.append(self.base)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return its table; an earlier table of that name stays for its readers."""
+    def write(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """Write ``df`` and return its table; an earlier table of that name stays for its readers.
+
+        ``narrow`` rows (a few numbers and keys) go to an eighth of the shuffle's tasks, so that files are no smaller than those of texts.
+        """
+        if narrow:
+            df = df.coalesce(max(1, shuffle_tasks(self.spark) // 8))
         n = len(self.paths)
         path = f"{self.base}/{name}-{n}"
         self.paths[n] = path
@@ -47,6 +52,6 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _OPEN.pop())
 
 
-def shuffle_tasks(spark: SparkSession, factor: int = 1) -> int:
-    """The session's number of shuffle partitions, times ``factor``."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions")) * factor
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -272,7 +272,7 @@ def near_classes(docs: DataFrame, scratch: Scratch, least: float = 0.8) -> DataF
 
     def read_texts(keys: DataFrame) -> DataFrame:
         wanted = keys.join(reps.select("key", "rep"), "key")
-        return texts.select(F.col("doc_id").alias("rep"), "text", F.col("key").alias("own")).join(wanted, "rep").where("own = key").select("key", "text")
+        return texts.select(F.col("doc_id").alias("rep"), "text", F.col("key").alias("own")).join(wanted.hint("merge"), "rep").where("own = key").select("key", "text")
 
     members = reps.select("key", F.explode(F.array_distinct("bands")).alias("band"))
     _, named = link_all(members, read_texts, lambda rows: rows, lambda a, b: edit_similarity(a[0], b[0]), least, scratch)

@@ -4,7 +4,7 @@ Nodes are distinct texts. In every bucket the member of least priority is the ce
 with it: a bucket of n costs n - 1 pairs. Verified links join nodes into components. Buckets that still hold several
 components are looked at again, until no comparison finds a link: small ones member by member, across components; in
 larger ones, the members outside the bucket's largest component are compared with one of its members and with one of their
-own, both drawn anew for each bucket and round. So a link is not lost because its bucket's centre is a third text.
+own, both drawn anew in each round, so that buckets of the same members draw the same few. So a link is not lost because its bucket's centre is a third text.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from framescore.llm.scratch import Scratch
 
 # Buckets of at most so many nodes are compared member by member across components.
 SMALL = 8
+# Classes of buckets that draw alike.
+PICKS = 4
 # A centre's comparisons are dealt to at most so many groups, each of which gets the centre's payload once.
 SPREAD = 256
 
@@ -132,9 +134,10 @@ def link_all(
 def _stragglers(large: DataFrame, turn: int) -> DataFrame:
     """(a, b) of large buckets: members outside the largest component, with one inside it and one of their own.
 
-    Sizes and picks are aggregates, partial before the shuffle; at most two pairs a member.
+    Sizes and picks are aggregates, partial before the shuffle; at most two pairs a bucket's member. Priorities depend on one of
+    ``PICKS`` classes of buckets, not on the bucket: texts that share most buckets are compared a few times a round, not in each.
     """
-    pick = F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("p"), "key")
+    pick = F.struct(F.xxhash64("key", F.lit(turn), F.pmod(F.xxhash64("band"), F.lit(PICKS))).alias("p"), "key")
     parts = large.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"), F.min(pick).alias("pick"))
     main = parts.groupBy("band").agg(F.max(F.struct("size", F.col("component"), "pick")).alias("m"))
     main = main.select("band", F.col("m.component").alias("main"), F.col("m.pick.key").alias("inside"))

@@ -144,7 +144,8 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFram
     def read_texts(keys: DataFrame) -> DataFrame:
         wanted = keys.join(texts.select("key", "rep"), "key")
         whole = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("rep"), "text")
-        return whole.join(wanted, "rep").where(F.unhex(F.md5("text")) == F.col("key")).select("key", "text")
+        # The same join at every size: what would be broadcast grows with the data.
+        return whole.join(wanted.hint("merge"), "rep").where(F.unhex(F.md5("text")) == F.col("key")).select("key", "text")
 
     members = texts.select("key", F.explode("bands").alias("band"))
     _, named = link_all(members, read_texts, _shingle_rows, _similarity, least, scratch)

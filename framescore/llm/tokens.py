@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from framescore.llm.words import hash_words, string_buffers
 
 # Chunks remembered by a Python worker: a bound on its memory, not on what is encoded.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 _MARK = np.zeros(256, bool)
 _MARK[[0xCC, 0xCD]] = True

@@ -20,7 +20,7 @@ from framescore.llm.scratch import Scratch
 # Buckets of at most so many nodes are compared member by member across components.
 SMALL = 8
 # Classes of buckets that draw alike.
-PICKS = 4
+PICKS = 2
 # A centre's comparisons are dealt to at most so many groups, each of which gets the centre's payload once.
 SPREAD = 256
 

@@ -5,6 +5,10 @@ with it: a bucket of n costs n - 1 pairs. Verified links join nodes into compone
 components are looked at again, until no comparison finds a link: small ones member by member, across components; in
 larger ones, the members outside the bucket's largest component are compared with one of its members and with one of their
 own, both drawn anew in each round, so that buckets of the same members draw the same few. So a link is not lost because its bucket's centre is a third text.
+
+The draws only make components large early. What they leave, the members of larger buckets that still hold several components,
+is settled exactly by ``prefix_pairs``, if the caller gives the texts' elements (``elements``): every pair across components that can reach the
+threshold is compared.
 """
 
 from __future__ import annotations
@@ -97,12 +101,40 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select(F.col("u").alias("key"), F.col("label").alias("component"))
 
 
+def prefix_pairs(parts: DataFrame, elements: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: every pair of nodes (key, component) of two components whose elements can be ``least`` alike.
+
+    ``elements`` is (key, element, weight, total), total being the sum of a node's weights. For measures that are at most the share of either
+    node's weight that lies on common elements. Such a pair's first common element, in any one order of all
+    elements, has at most 1 - least of the weight before it on both sides; so only elements that early are joined. Rare
+    elements come first: those of one node alone cost no row, and a node with more than 1 - least of them is compared with none.
+    """
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = elements.join(often.hint("merge"), "element")
+    own = Window.partitionBy("key")
+    before = own.orderBy("n", "element").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.col("total") - F.sum("weight").over(own)
+    early = shared.withColumn("passed", alone + F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    early = early.where(F.col("passed") <= F.col("total") * (1 - least) + 1e-6).select("key", "element")
+    placed = scratch.write(early.join(parts, "key"), "prefixes")
+    # Only elements that several components hold; the members of an element's largest component are not paired with each other.
+    sizes = placed.groupBy("element", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("element").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("element", F.col("m.component").alias("main"))
+    held = scratch.write(placed.join(mixed, "element"), "prefixes")
+    rest = held.where("component <> main").select("element", F.col("key").alias("a"), F.col("component").alias("ca"))
+    pairs = rest.join(held.select("element", F.col("key").alias("b"), "component"), "element").where("ca <> component")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def link_all(
-    members: DataFrame, read_texts: Callable[[DataFrame], DataFrame], unpack: Callable, similarity: Callable, least: float, scratch: Scratch
+    members: DataFrame, read_texts: Callable[[DataFrame], DataFrame], unpack: Callable, similarity: Callable, least: float, scratch: Scratch,
+    elements: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(links (a, b, similarity), components (key, component)) of nodes that share buckets (band, key).
 
     ``read_texts`` gives (key, text) for a table of keys. It is called once, for the nodes that share a bucket, and written.
+    ``elements`` turns (key, text) into what ``prefix_pairs`` takes; without it, larger buckets are searched by draws alone.
     """
     held = scratch.write(full_buckets(members), "buckets").select("band", "key")
     texts = scratch.write(read_texts(held.select("key").distinct()), "texts")
@@ -125,10 +157,21 @@ def link_all(
         fresh = scratch.write(pairs.union(stars).distinct().join(known, ["a", "b"], "left_anti"), "pairs", narrow=True)
         more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
         if more.limit(1).count() == 0:
-            return links, named
+            break
         named = _merge(named, more, scratch)
         # All pairs of small buckets are tested now; and a bucket of one component stays one.
         tested, links, held = tested.unionByName(fresh), links.unionByName(more), large.select("band", "key")
+    # Components have not changed since ``large`` was written.
+    left = scratch.write(large.select("key", "component").distinct(), "left", narrow=True)
+    if elements is None or left.limit(1).count() == 0:
+        return links, named
+    found = prefix_pairs(left, scratch.write(elements(texts.join(left.select("key"), "key").select("key", "text")), "elements"), least, scratch)
+    known = tested.unionByName(fresh).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    fresh = scratch.write(found.join(known, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
+    if more.limit(1).count() == 0:
+        return links, named
+    return links.unionByName(more), _merge(named, more, scratch)
 
 
 def _stragglers(large: DataFrame, turn: int) -> DataFrame:

@@ -13,6 +13,7 @@ arrival is later than all registers of its document (early termination), so a lo
 2. ``BANDS`` bands of ``ROWS`` registers each; nodes that agree in a band share a bucket. A pair at 0.8 shares
    none with probability (1 - 0.8^5)^32 = 3e-6.
 3. Pairs around bucket centres are verified by their exact similarity, from whole texts, and links joined into classes (``linking``).
+   Texts of large buckets that are still apart are joined by their rarest shingles, so that no pair at 0.8 among them is left out.
 4. Every document gets its node's class: the least doc_id of its component.
 
 Defined cases: a null text or doc_id is never a duplicate: its class is its own doc_id; blank texts (no word) are near
@@ -130,6 +131,26 @@ def _shingle_rows(joined: DataFrame) -> DataFrame:
     return joined.select("key", "roles", "text").mapInArrow(run, f"key binary, roles {roles}, elements array<bigint>, weights array<int>")
 
 
+def _element_rows(texts: DataFrame) -> DataFrame:
+    """(key, element, weight, total) of (key, text): one row per distinct shingle.
+
+    Probability Jaccard is at most the weight of the common shingles, in either text: each common shingle adds at most its own share.
+    """
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            for lo, hi in slices(column):
+                row, element, weight = weighted_shingles(column.slice(lo, hi - lo))
+                total = np.bincount(row, weight, hi - lo).astype(np.int64)[row]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(element.view(np.int64)), pa.array(weight.astype(np.int64)), pa.array(total)],
+                    ["key", "element", "weight", "total"],
+                )
+
+    return texts.mapInArrow(run, "key binary, element bigint, weight bigint, total bigint")
+
+
 def _similarity(one, other) -> float:
     (x, nx), (y, ny) = one, other
     weights = lambda n: n if len(n) else None
@@ -148,7 +169,7 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFram
         return whole.join(wanted.hint("merge"), "rep").where(F.unhex(F.md5("text")) == F.col("key")).select("key", "text")
 
     members = texts.select("key", F.explode("bands").alias("band"))
-    _, named = link_all(members, read_texts, _shingle_rows, _similarity, least, scratch)
+    _, named = link_all(members, read_texts, _shingle_rows, _similarity, least, scratch, _element_rows)
     with_reps = texts.select("key", "rep").join(named, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     heads = with_reps.groupBy("component").agg(F.min("rep").alias("class_id"))
     named_texts = scratch.write(with_reps.join(heads, "component").select("key", "class_id"), "classes")

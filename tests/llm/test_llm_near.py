@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from cases import prose
 
-from framescore.llm import editembed, minhash, passages
+from framescore.llm import editembed, linking, minhash, passages
 from framescore.llm.scratch import Scratch
 from framescore.llm.words import SPACES
 
@@ -68,6 +68,37 @@ def test_near_duplicate_classes_are_those_of_all_pairs(spark):
     assert got == want
 
 
+def test_members_of_a_hot_group_are_linked_by_any_one_pair(spark, monkeypatch):
+    # Copies of one text, near each other, and stragglers that are alike in twos only; all buckets hold all of them.
+    made = minhash.sketches
+    monkeypatch.setattr(minhash, "sketches", lambda docs: made(docs).selectExpr("doc_id", "key", "array(1L, 2L, 3L) AS bands"))
+    base = prose(200, 31)
+    docs = [_edited(base, 2, 9000 + i) for i in range(60)]
+    for i in range(25):
+        far = _edited(base, 14, 20_000 + i)
+        docs += [far, _edited(far, 2, 30_000 + i)]
+    bags = {i: _shingles(t) for i, t in enumerate(docs)}
+    # No shingle repeats, so the measure is the plain Jaccard similarity.
+    assert all(max(b.values()) == 1 for b in bags.values())
+    alike = lambda x, y: (n := len(x.keys() & y.keys())) / (len(x) + len(y) - n)
+    want = _groups([(i, j) for i in bags for j in range(i + 1, len(bags)) if alike(bags[i], bags[j]) >= 0.8], bags)
+    assert len(set(want.values())) > 20
+    got = {r.doc_id: r.class_id for r in minhash.classes(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), Scratch(spark, "t")).collect()}
+    assert got == want
+
+
+def test_prefixes_hold_every_pair_that_can_be_near(spark):
+    r, rows = random.Random(5), []
+    for i in range(60):
+        bag = Counter({e: r.choice([1, 1, 1, 3]) for e in r.sample(range(12), r.randint(5, 11))})
+        rows.append((i, bag))
+    elements = spark.createDataFrame([(i, e, n, b.total()) for i, b in rows for e, n in b.items()], "key bigint, element bigint, weight bigint, total bigint")
+    parts = spark.createDataFrame([(i, i // 2) for i, _ in rows], "key bigint, component bigint")
+    got = {(p.a, p.b) for p in linking.prefix_pairs(parts, elements, 0.8, Scratch(spark, "t")).collect()}
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and i // 2 != j // 2 and _jaccard(x, y) >= 0.8}
+    assert want and want <= got and all(i // 2 != j // 2 for i, j in got)
+
+
 def test_registers_agree_as_often_as_the_similarity_says():
     texts = [prose(100, 1), _edited(prose(100, 1), 4, 2), "go on " * 20 + prose(40, 3), "go on " * 50 + prose(40, 3)]
     row, element, weight = minhash.weighted_shingles(pa.array(texts))

@@ -163,6 +163,28 @@ def test_chains_beat_all_ordered_subsets():
         assert max(score(c) for c in got) >= best - 1e-9 or best - max(score(c) for c in got) < 6
 
 
+def test_best_chain_over_thousands_of_positions():
+    r = random.Random(8)
+    for _ in range(40):
+        own = [(p, p + r.randint(-40, 40)) for p in sorted(r.sample(range(6000), 150))] + [(r.randint(0, 6000), r.randint(0, 6000)) for _ in range(60)]
+        own = [(p, q + 50) for p, q in own] + [(9, 9)] * 2
+        at, other = map(np.array, zip(*own))
+        order, score = sorted(range(len(own)), key=lambda i: own[i]), {}
+        for i in order:
+            reach = [score[j] - passages.GAP * (at[i] - at[j] + other[i] - other[j]) for j in score if 0 < at[i] - at[j] <= passages.MAX_GAP and 0 < other[i] - other[j] <= passages.MAX_GAP]
+            score[i] = 6 + max(0, *reach, 0)
+        best = passages.chains(at, other)[0]
+        got = 6 * len(best) - passages.GAP * sum(at[j] - at[i] + other[j] - other[i] for i, j in zip(best, best[1:]))
+        assert abs(got - max(score.values())) < 1e-6
+        assert all(0 < at[j] - at[i] <= passages.MAX_GAP and 0 < other[j] - other[i] <= passages.MAX_GAP for i, j in zip(best, best[1:]))
+
+
+def test_a_chain_behind_a_long_one_is_whole():
+    # A stretch of 35 matches, and 400 words on another of four.
+    at = np.array([*range(0, 315, 9), *range(715, 751, 9)])
+    assert sorted(map(len, passages.chains(at, at))) == [4, 35]
+
+
 def test_a_document_that_is_all_repeat_goes(spark):
     text = prose(90, 1)
     df = spark.createDataFrame([(1, text, 5), (2, text, 5), (3, prose(90, 2), 7)], "doc_id bigint, text string, n_chars bigint")

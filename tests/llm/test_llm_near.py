@@ -143,6 +143,17 @@ def test_planted_passages_are_found_and_nothing_else(spark, edits):
             assert abs(len(cut[i]) - (len(w) - 70)) <= 3 + 3 * edits
 
 
+def test_each_copy_of_a_passage_in_one_document_is_found(spark):
+    p, x, y, z = (prose(n, 70 + n).split() for n in (80, 150, 151, 152))
+    docs = [(1, x[:60] + p + x[60:]), (2, y[:40] + p + y[40:90] + p + y[90:] + p), (3, z)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    s = Scratch(spark, "t")
+    found = s.write(passages.passages(df, s), "found")
+    assert {(r.doc_id, r.earlier_id) for r in found.collect()} == {(2, 1)}
+    cut = {r.doc_id: r.text.split() for r in passages.cut_passages(df, found).collect()}
+    assert cut == {1: docs[0][1], 2: y, 3: z}
+
+
 def test_chains_beat_all_ordered_subsets():
     r = random.Random(4)
     for _ in range(60):

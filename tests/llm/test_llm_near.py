@@ -154,6 +154,37 @@ def test_each_copy_of_a_passage_in_one_document_is_found(spark):
     assert cut == {1: docs[0][1], 2: y, 3: z}
 
 
+def _hidden(lines: list[list[str]]) -> list[list[str]]:
+    """Two documents that share all lines in order, and between them one that holds each line alone."""
+    texts = [[prose(40, 800)] + lines + [prose(40, 801)]] + [[prose(60, 810 + i), line, prose(60, 900 + i)] for i, line in enumerate(lines)]
+    return [" ".join(t).split() for t in [*texts, [prose(30, 802)] + lines + [prose(30, 803)]]]
+
+
+@pytest.mark.parametrize("n, size", [(3, 25), (4, 30), (3, 45), (8, 12), (40, 20)])
+def test_passages_of_common_lines_are_found_past_nearer_holders_of_one(spark, n, size):
+    for seed in range(3):
+        lines = [prose(size, 3000 + 100 * seed + i) for i in range(n)]
+        docs = list(enumerate(_hidden(lines)))
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+        found = passages.passages(df, Scratch(spark, "t")).collect()
+        # Brute force: no two other documents share 50 words in a row.
+        runs = [{tuple(w[i : i + 50]) for i in range(len(w) - 49)} for _, w in docs]
+        assert [(i, j) for i in range(len(runs)) for j in range(i) if runs[i] & runs[j]] == [(n + 1, 0)]
+        assert {(r.doc_id, r.earlier_id) for r in found} == {(n + 1, 0)}
+        assert min(r.start_word for r in found) <= 30 and max(r.end_word for r in found) >= 30 + n * size
+
+
+def test_alignment_goes_on_beyond_the_words_fetched_first(spark):
+    # One seed's holder shares 400 words on both sides of it.
+    shared = prose(800, 77)
+    rows = [(1, f"{prose(700, 78)} {shared} {prose(30, 79)}"), (2, f"{prose(40, 80)} {shared} {prose(700, 81)}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    linked = spark.createDataFrame([(0, 2, 1, [440], [1100])], "chain bigint, doc_id bigint, earlier_id bigint, at array<int>, earlier_at array<int>")
+    short, whole = (passages._aligned(df, linked, m, 50, 0.8).collect() for m in (64, 4096))
+    assert [r.beyond for r in short] == [True]
+    assert [(r.start_word, r.end_word, r.earlier_start, r.earlier_end) for r in whole] == [(40, 840, 700, 1500)]
+
+
 def test_chains_beat_all_ordered_subsets():
     r = random.Random(4)
     for _ in range(60):

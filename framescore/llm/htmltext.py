@@ -11,7 +11,8 @@ containers of many names, menus, headers, footers, sidebars, notices, adverts, f
 The fit runs on the driver, on the sample alone; it is seeded, so a rerun gives the same model. All pages are then extracted with it.
 
 Text: the blocks of content nodes in page order, joined by line breaks. Scripts, styles, head, form controls and comments in the
-markup never count. Character references are decoded; white space, also ``<br>``, becomes one space.
+markup never count; a script, style, noscript, textarea, title or iframe goes on to its end tag or the end of the page, other controls, svg and
+templates without an end tag to the next block or the end of their parent. Character references are decoded; white space, also ``<br>``, becomes one space.
 
 Defined cases: a null or empty page gives an empty text; markup that breaks off, unclosed or stray tags are read as browsers do in
 the main (a block ends an open paragraph, an end tag closes what is open inside it); a page of any length is read whole;
@@ -32,12 +33,16 @@ from pyspark.sql import functions as F
 SAMPLE, ROUNDS, SEED = 80, 120, 7
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""",
     re.S | re.I,
 )
 _NAMED = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+# A raw element is read to its end tag, or to the end of the page as in browsers. The text of muted ones never counts.
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>|\Z", re.S | re.I) for t in "script style noscript textarea title iframe".split()}
+MUTED = frozenset("svg select button template".split())
+_NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in MUTED}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -52,6 +57,8 @@ NAMES = [
     "newsletter subscribe signup paywall", "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion promoted",
     "comment comments reply replies respond disqus discussion thread responses", "share social sharing follow tags meta byline toolbar", "form login search contact",
 ]
+# Blocks that end a muted element which has no end tag of its own.
+BLOCKS = frozenset(TAGS)
 _NAME_OF = {w: i for i, group in reversed(list(enumerate(NAMES))) for w in group.split()}
 _TAG_OF = {t: i for i, t in enumerate(TAGS)}
 N_FEATURES = 1 + len(TAGS) + len(NAMES) + 7
@@ -66,6 +73,8 @@ class Page:
         self.parent, self.tag, self.names, self.depth, self.own, self.linked, self.stops = [-1], [-1], [()], [0], [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         stack, kinds, links, parts = [0], ["#"], 0, []
+        # Where the outermost muted element is on the stack (0: none), and whether its end tag is missing. It is part of its parent's node.
+        mute, unclosed, at = 0, False, 0
 
         def flush() -> None:
             if parts:
@@ -77,15 +86,18 @@ class Page:
                     self.stops[stack[-1]] += text.count(". ") + text.count(", ") + text.endswith(".")
 
         def pop_to(i: int) -> None:
-            flush()
+            nonlocal mute
+            if not mute or i < mute:
+                flush()
             del stack[i:], kinds[i:]
+            if i <= mute:
+                mute = 0
 
-        for m in _TOKEN.finditer(html):
+        while m := _TOKEN.match(html, at):
+            at = m.end()
             tag = m["tag"] or m["tag2"]
             if tag is None:
-                if m["raw"] or m[0].startswith("<") and len(m[0]) > 1:
-                    if m["raw"]:
-                        parts.append(" ")
+                if mute or m[0].startswith("<") and len(m[0]) > 1:
                     continue
                 piece = _html.unescape(m[0]) if "&" in m[0] else m[0]
                 parts.append(piece)
@@ -103,6 +115,31 @@ class Page:
                     pop_to(len(kinds) - 1 - kinds[::-1].index(tag))
                     links = 0
                 continue
+            attrs = m["attrs"] or m["attrs2"] or ""
+            if tag in _RAW_END:
+                parts.append(" ")
+                # Within svg, these may be empty.
+                if not ("svg" in kinds and attrs.endswith("/")):
+                    at = _RAW_END[tag].search(html, at).end()
+                continue
+            if mute and unclosed and tag in BLOCKS:
+                pop_to(mute)
+            if mute and (kinds[mute] == tag == "button"):
+                pop_to(mute)
+            if mute:
+                if tag not in VOID and tag not in INLINE and not attrs.endswith("/"):
+                    stack.append(stack[-1])
+                    kinds.append(tag)
+                continue
+            if tag in MUTED:
+                parts.append(" ")
+                if tag == "svg" and attrs.endswith("/"):
+                    continue
+                after = _NEXT[tag].search(html, at)
+                mute, unclosed = len(kinds), not (after and after[1])
+                stack.append(stack[-1])
+                kinds.append(tag)
+                continue
             if tag in INLINE:
                 links += tag == "a"
                 continue
@@ -114,7 +151,7 @@ class Page:
                 continue
             if "p" in kinds:
                 inner = len(kinds) - 1 - kinds[::-1].index("p")
-                if not {"table", "td", "button"} & set(kinds[inner:]):
+                if not {"table", "td"} & set(kinds[inner:]):
                     pop_to(inner)
             if tag in CLOSES:
                 for i in range(len(kinds) - 1, 0, -1):
@@ -124,7 +161,6 @@ class Page:
                         pop_to(i)
                         break
             flush()
-            attrs = m["attrs"] or m["attrs2"] or ""
             found = ()
             if "=" in attrs:
                 found = tuple({_NAME_OF[w] for v in _NAMED.findall(attrs) for w in (x.lower() for x in _WORD.findall("".join(v))) if w in _NAME_OF})

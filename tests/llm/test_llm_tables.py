@@ -172,3 +172,18 @@ def test_pipeline(spark, tmp_path):
 
 def test_odd_docs_have_the_clashing_names(spark):
     assert {"key", "size", "shard", "target"} <= set(odd_docs(spark).columns)
+
+
+@pytest.mark.parametrize("odd", [
+    '<svg class="x" viewBox="0 0 1 1"/>', "<svg-icon name=a></svg-icon>", "<button-group></button-group>", "<select-box></select-box>", "<svg><path d='M0'/>",
+    "<svg><title/><path/></svg>", "<button>Open", "<select><option>one<option>two", "<div><button>Open</div>", "<template>Open", "<script x='>no</script>", "<button>a<button>b</button>", "<svg><g><svg/></g></svg>",
+    "<style-guide></style-guide>", '<script data-x="a>b">var a = "<p>no</p>"</script>', "<button>Open <div>more</div></button>", "<svg><title>Icon</title></svg>",
+])
+def test_text_behind_a_control_or_image_is_read(odd):
+    page = htmltext.Page(f"<body><div>{odd}<p>First text.</p><p>Last <b>text</b>.</p></div><footer>End</footer></body>")
+    assert [t for _, t in page.blocks] == ["First text.", "Last text.", "End"]
+
+
+def test_controls_do_not_cut_a_paragraph():
+    html = "<p>One <button>no<i>no</i><div>no</div></button> two <svg><path/><text>no</text></svg>three <select><option>no</option></select>four</p><p>five</p>"
+    assert [t for _, t in htmltext.Page(html).blocks] == ["One two three four", "five"]

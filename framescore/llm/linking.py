@@ -154,7 +154,10 @@ def link_all(
         large = open_rows.where(F.col("n") > SMALL)
         stars = _stragglers(large, turn)
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = scratch.write(pairs.union(stars).distinct().join(known, ["a", "b"], "left_anti"), "pairs", narrow=True)
+        # A drawn member stays the centre of its pairs: its comparisons are dealt by ``verify``, and a partner has a role for each draw only.
+        lo, hi = F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")
+        found = pairs.union(stars).groupBy(lo, hi).agg(F.min("a").alias("a")).join(known.toDF("lo", "hi"), ["lo", "hi"], "left_anti")
+        fresh = scratch.write(found.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs", narrow=True)
         more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
         if more.limit(1).count() == 0:
             break
@@ -175,7 +178,7 @@ def link_all(
 
 
 def _stragglers(large: DataFrame, turn: int) -> DataFrame:
-    """(a, b) of large buckets: members outside the largest component, with one inside it and one of their own.
+    """(a, b) of large buckets, a the drawn one: members outside the largest component, with one inside it and one of their own.
 
     Sizes and picks are aggregates, partial before the shuffle; at most two pairs a bucket's member. Priorities depend on one of
     ``PICKS`` classes of buckets, not on the bucket: texts that share most buckets are compared a few times a round, not in each.
@@ -188,7 +191,7 @@ def _stragglers(large: DataFrame, turn: int) -> DataFrame:
     own = rest.groupBy("band").agg(F.min(pick).alias("o"), F.min_by("component", pick).alias("co")).select("band", F.col("o.key").alias("own"), "co")
     both = rest.join(own, "band")
     pairs = both.select(F.explode(F.array(F.col("inside"), F.when(F.col("co") != F.col("component"), F.col("own")))).alias("a"), F.col("key").alias("b"))
-    return pairs.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.where("a IS NOT NULL")
 
 
 def _merge(named: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:

@@ -87,6 +87,14 @@ def test_members_of_a_hot_group_are_linked_by_any_one_pair(spark, monkeypatch):
     assert got == want
 
 
+def test_drawn_members_are_the_centres(spark):
+    rows = [("x", f"k{i:02}", "main" if i % 2 else f"k{i:02}") for i in range(40)]
+    large = spark.createDataFrame(rows, "band string, key string, component string")
+    pairs = linking._stragglers(large, 1).collect()
+    # One drawn inside the largest component, and one of the rest.
+    assert len({p.a for p in pairs}) == 2 and len({p.b for p in pairs}) == 20
+
+
 def test_prefixes_hold_every_pair_that_can_be_near(spark):
     r, rows = random.Random(5), []
     for i in range(60):

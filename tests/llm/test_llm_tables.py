@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from cases import odd_docs, odd_rows, prose
 
@@ -187,3 +189,8 @@ def test_text_behind_a_control_or_image_is_read(odd):
 def test_controls_do_not_cut_a_paragraph():
     html = "<p>One <button>no<i>no</i><div>no</div></button> two <svg><path/><text>no</text></svg>three <select><option>no</option></select>four</p><p>five</p>"
     assert [t for _, t in htmltext.Page(html).blocks] == ["One two three four", "five"]
+
+
+def test_the_packed_sequences_can_be_rebuilt(spark):
+    rows = corpus_pipeline.pack(spark, odd_docs(spark), "").collect()
+    assert rows and all(len(r.ids) == r.length and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) for r in rows)

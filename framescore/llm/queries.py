@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm import chat, editembed, hostrules, htmltext, minhash, mixing, packing, passages, sharding, tokencounts
+from framescore.llm import chat, editembed, hostrules, htmltext, minhash, mixing, packing, passages, prefixtrie, runs, sharding, tokencounts
 from framescore.llm.scratch import Scratch
 from framescore.session import new_shared_path, ship_package
 
@@ -117,5 +117,18 @@ def op10_near_duplicates(spark, sf_dir):
     return minhash.classes(_read(spark, sf_dir, "documents"), Scratch(spark, "op10"))
 
 
+@_query
+def op11_prefix_trie(spark, sf_dir):
+    """The trie of rebuilt conversations, with leaves and savings of every subtree."""
+    return prefixtrie.trie(prefixtrie.rebuilt(_read(spark, sf_dir, "conversations")), Scratch(spark, "op11"))
+
+
+@_query
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of every document's words, and digests of its text with runs cut to one period."""
+    return runs.digests(_read(spark, sf_dir, "documents"))
+
+
 ORACLES["op5_host_rules"] = hostrules.ORACLE
 ORACLES["op8_water_filled_mix"] = mixing.ORACLE
+ORACLES["op11_prefix_trie"] = prefixtrie.ORACLE

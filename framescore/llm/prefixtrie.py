@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from framescore.llm.eulertour import subtree_sums
 from framescore.llm.scratch import Scratch
+from framescore.llm.sqltext import crc32
 from framescore.llm.words import WORD
 
 # Ids joined to one chunk of text.
@@ -164,7 +165,7 @@ def trie(rows: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
-# The same by lists of turns; the crc32 of the digits is worked out bit by bit.
+# The same by lists of turns.
 ORACLE = r"""
 WITH turns AS (
     SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -173,11 +174,7 @@ WITH turns AS (
 ),
 convs AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY r) AS own FROM turns GROUP BY conv_id),
 crcs AS (
-    SELECT conv_id, own, xor(4294967295, list_reduce(
-        list_prepend(4294967295::BIGINT, list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ascii(substr(conv_id::VARCHAR, i::INT, 1))::BIGINT)),
-        lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-            lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
-    )) % 4 AS h
+    SELECT conv_id, own, """ + crc32("conv_id::VARCHAR") + r""" % 4 AS h
     FROM convs
 ),
 rebuilt AS (

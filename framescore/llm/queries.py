@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framescore.llm import chat, editembed, hostrules, htmltext, minhash, mixing, packing, passages, prefixtrie, runs, sharding, tokencounts
+from framescore.llm import chat, editembed, hostrules, htmltext, katz, minhash, mixing, packing, passages, prefixtrie, runs, sharding, tokencounts
 from framescore.llm.scratch import Scratch
 from framescore.session import new_shared_path, ship_package
 
@@ -123,6 +123,14 @@ def op11_prefix_trie(spark, sf_dir):
     return prefixtrie.trie(prefixtrie.rebuilt(_read(spark, sf_dir, "conversations")), Scratch(spark, "op11"))
 
 
+@_query
+def op12_katz_scores(spark, sf_dir):
+    """Every document's probability by a backoff model of six in seven documents, and by a smoothed unigram base."""
+    model = katz.Katz(_read(spark, sf_dir, "documents"), katz.held_out(), Scratch(spark, "op12"))
+    # Rounded to 1e-6, far above what the order of summing changes.
+    return model.scores().withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 @_query
 def op13_periodic_runs(spark, sf_dir):
     """Periodic runs of every document's words, and digests of its text with runs cut to one period."""
@@ -132,3 +140,4 @@ def op13_periodic_runs(spark, sf_dir):
 ORACLES["op5_host_rules"] = hostrules.ORACLE
 ORACLES["op8_water_filled_mix"] = mixing.ORACLE
 ORACLES["op11_prefix_trie"] = prefixtrie.ORACLE
+ORACLES["op12_katz_scores"] = katz.ORACLE

@@ -6,11 +6,15 @@ They lie below ``spark.checkpoint.dir``, which all executors share, so a lost ex
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from framescore.session import new_shared_path
 
 _OPEN: list[str] = []
+# Names of bucketed tables, which lie in those folders too.
+_TABLES: list[str] = []
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -26,9 +30,10 @@ class Scratch:
         self.spark, self.base, self.paths = spark, new_shared_path(spark, tag), {}
         _OPEN.append(self.base)
 
-    def write(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    def write(self, df: DataFrame, name: str, narrow: bool = False, by: str | None = None) -> DataFrame:
         """Write ``df`` and return its table; an earlier table of that name stays for its readers.
 
+        With ``by``, each value of that column has a folder of its own, so that a reader of one value reads no other.
         ``narrow`` rows (a few numbers and keys) go to an eighth of the shuffle's tasks, so that files are no smaller than those of texts.
         """
         if narrow:
@@ -36,11 +41,23 @@ class Scratch:
         n = len(self.paths)
         path = f"{self.base}/{name}-{n}"
         self.paths[n] = path
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """Write ``df`` in buckets by ``key``: a join on it with rows dealt to as many tasks does not move this table."""
+        n = len(self.paths)
+        path = f"{self.base}/{name}-{n}"
+        self.paths[n] = path
+        table = f"bucketed_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+        out = self.spark.table(table)
+        out._scratch_path = path
+        _TABLES.append(table)
+        return out
+
     def drop(self, table: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
         _delete(self.spark, table._scratch_path)
@@ -48,6 +65,8 @@ class Scratch:
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch folders of this session. Call it once the results made from them are written."""
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _OPEN:
         _delete(spark, _OPEN.pop())
 

@@ -24,9 +24,13 @@ def join_labels(images: DataFrame, labels: DataFrame, salt_by: Column | None = N
     it knows their size, and otherwise splits a hot image name at run time. Where
     adaptive execution is off, ``salt_by`` (any column that varies inside a name)
     spreads each name over ``salts`` partitions and repeats the narrow label rows.
+    Images that carry their ``stem`` are joined by it; written in buckets by stem (``sources.bucketed``), they stay
+    where they are and the labels come to them.
     """
     kept = [c for c in images.columns if c != "label"]
-    left, right = images.drop("label").withColumn("stem", stem(F.col("name"))), label_keys(labels)
+    left, right = images.drop("label"), label_keys(labels)
+    if "stem" not in left.columns:
+        left = left.withColumn("stem", stem(F.col("name")))
     if salt_by is None:
         return left.join(right, "stem", "left").select(*kept, "label")
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framescore.functions import names
 from framescore.operators import combine, head, pixels, runlog, sampling
 from framescore.plans import model
 from framescore.plans.oracles import GRID, IMG, ORACLES, SCORED
@@ -15,6 +16,11 @@ from framescore.schema import IMAGE_METADATA
 from framescore.session import new_shared_path
 from framescore.sources import labels as label_files
 from framescore.sources import tables
+from framescore.sources.bucketed import read_bucketed, write_bucketed
+from framescore.sources.ledger import KeyLedger
+from framescore.streaming.append import append_keyed_stream, state_on_disk
+from framescore.streaming.score import stream_table, write_stream
+from framescore.streaming.stride import stride_stream
 
 REG = 0.01
 
@@ -74,6 +80,63 @@ def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_table(spark, path)
 
 
+def stored_pictures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A third of the pictures, the others and some of the first again, and all of them, as stored files with pixels."""
+    base = new_shared_path(spark, "pictures")
+    rows = pictures(spark, sf_dir)
+    for name, part in (("a", "vec_id % 3 = 0"), ("b", "vec_id % 3 <> 0 OR vec_id % 2 = 0"), ("c", "true")):
+        tables.write_table(rows.where(part), f"{base}/{name}")
+    return tuple(tables.read_table(spark, f"{base}/{name}") for name in "abc")
+
+
+@query
+def append_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping appends of pictures by a key ledger, with how many rows each one added."""
+    store = KeyLedger(spark, new_shared_path(spark, "ledger"), "name")
+    added = [store.append(part, ["vec_id"], f"batch-{i}") for i, part in enumerate(stored_pictures(spark, sf_dir))]
+    rows = store.read().select("name", "label", F.length("image.data").alias("n_bytes"))
+    return rows.withColumns({f"added_{i}": F.lit(n).cast("bigint") for i, n in enumerate(added)})
+
+
+@query
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream of several micro-batches, with keys that the ledger knew before; run twice from one checkpoint."""
+    first, second, every = stored_pictures(spark, sf_dir)
+    base = new_shared_path(spark, "stream-append")
+    store = KeyLedger(spark, f"{base}/store", "name")
+    store.append(first, ["vec_id"])
+    tables.write_table(second.unionByName(every), f"{base}/in")
+    for _ in range(2):
+        append_keyed_stream(spark, f"{base}/in", store, f"{base}/progress", files_per_batch=8).awaitTermination()
+    return store.read().select("name", "label", F.length("image.data").alias("n_bytes"))
+
+
+@query
+def label_join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images written in buckets by stem, joined with their labels bucket by bucket."""
+    path = new_shared_path(spark, "bucketed")
+    listed, named = _listing(spark, sf_dir)
+    write_bucketed(listed.withColumn("stem", names.stem(F.col("name"))), path, "stem", 16)
+    return combine.join_labels(read_bucketed(spark, path), named).select("name", "label")
+
+
+@query
+def stream_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every n-th event of each user by a stream that gets them in pieces of equal size, in order of time."""
+    base = new_shared_path(spark, "stride")
+    frames = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
+    frames.repartitionByRange(5, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(f"{base}/all")
+    # One file a micro-batch, the earliest first: files are taken in the order of their times of writing.
+    for i in range(5):
+        whole = spark.read.parquet(f"{base}/all").withColumn("_part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
+        whole.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    step = 10
+    stream = stream_table(spark, f"{base}/in", files_per_batch=1)
+    with state_on_disk(spark):
+        write_stream(stride_stream(stream, "user_id", ["ts", "event_id"], step), f"{base}/out", f"{base}/progress").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_id", "frame_no", "frame_name")
+
+
 @query
 def managed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A managed table replaced by one of another schema."""
@@ -151,8 +214,6 @@ def head_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants of each frame on either side of the split: none has both."""
-    from framescore.functions import names
-
     varied = sampling.fan_out(grids(spark, sf_dir).select("name", "label"), 4)
     named = varied.withColumn("source_name", F.col("name")).withColumn("name", names.with_variant(F.col("name"), F.col("variant")))
     sides = sampling.hash_split(named.withColumn("root", names.root(F.col("name"))), "root")
@@ -166,6 +227,13 @@ ORACLES |= {
     "label_json_roundtrip": AWKWARD,
     "table_overwrite": f"WITH {IMG} SELECT name, path FROM img",
     "table_append": f"WITH {IMG} SELECT name, path FROM img",
+    "append_ledger": (
+        f"WITH {GRID}, added AS (SELECT count(*) FILTER (vec_id % 3 = 0) AS added_0, count(*) FILTER (vec_id % 3 <> 0) AS added_1, "
+        "0::BIGINT AS added_2 FROM embeddings) SELECT name, label, 64 AS n_bytes, added_0, added_1, added_2 FROM grid, added"
+    ),
+    "stream_append": f"WITH {GRID} SELECT name, label, 64 AS n_bytes FROM grid",
+    "label_join_bucketed": ORACLES["label_left_join"],
+    "stream_stride": ORACLES["stride_sample"],
     "managed_replace": f"WITH {GRID} SELECT vec_id, label FROM grid",
     "variants_one_write": f"WITH {GRID} SELECT name, label, v::INTEGER AS variant FROM grid, unnest(range(3)) t(v)",
     "run_log_roundtrip": (

@@ -76,15 +76,18 @@ def gradient(
 
     With ``reg`` above 0 the best weights are unique, and there every slope is 0.
     """
-    weights = model.coefficientMatrix.toArray()
+    return slopes(predict(df, model, features), model.coefficientMatrix.toArray().tolist(), reg, features, label)
+
+
+def slopes(rows: DataFrame, weights: list[list[float]], reg: float, features: str = "features", label: str = "label") -> DataFrame:
+    """``gradient`` of any head with these weights, given its rows with their ``probs``."""
     table = [(k, j, float(w)) for k, row in enumerate(weights) for j, w in enumerate(row)]
     n = len(weights)
-    rows = predict(df, model, features)
     error = [F.col("probs")[k] - (F.col(label) == k).cast("double") for k in range(n)]
     cells = rows.select(*[e.alias(f"e{k}") for k, e in enumerate(error)], F.posexplode(F.col(features).cast("array<double>")).alias("feature", "x"))
     sums = cells.groupBy("feature").agg(*[F.avg(F.col(f"e{k}") * F.col("x")).alias(f"g{k}") for k in range(n)])
     long = sums.select("feature", F.posexplode(F.array(*[F.col(f"g{k}") for k in range(n)])).alias("class", "mean"))
-    known = df.sparkSession.createDataFrame(table, "class int, feature int, weight double")
+    known = rows.sparkSession.createDataFrame(table, "class int, feature int, weight double")
     return long.join(F.broadcast(known), ["class", "feature"]).select("class", "feature", (F.col("mean") + reg * F.col("weight")).alias("slope"))
 
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framescore.functions import names
-from framescore.operators import combine, head, pixels, runlog, sampling
+from framescore.functions.probability import linear_logits, with_scores
+from framescore.operators import combine, epochs, head, pixels, runlog, sampling
 from framescore.plans import model
 from framescore.plans.oracles import GRID, IMG, ORACLES, SCORED
 from framescore.plans.queries import HEAD, NO_BIAS, grids, images, pictures, query, r6, table
 from framescore.schema import IMAGE_METADATA
-from framescore.session import new_shared_path
+from framescore.session import cut_lineage, new_shared_path
 from framescore.sources import labels as label_files
 from framescore.sources import tables
 from framescore.sources.bucketed import read_bucketed, write_bucketed
@@ -211,6 +212,17 @@ def head_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slopes.select("class", "feature", (F.round("slope", 4) + 0.0).alias("slope"))
 
 
+@query
+def head_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A head fitted in epochs and run on to the end: the slopes at its weights are 0, as at those of ``head_optimality``."""
+    rows = sampling.hash_split(grids(spark, sf_dir).withColumnRenamed("grid", "features")).select("features", "label", "split")
+    rows = cut_lineage(rows, "epochs")
+    fitted = epochs.fit_epochs(rows, reg=REG, epochs=200, patience=None, tol=1e-5)
+    logits = linear_logits(F.col("features"), fitted.weights, fitted.bias)
+    there = with_scores(rows.where("split = 'train'").withColumn("logits", logits))
+    return head.slopes(there, fitted.weights, REG).select("class", "feature", (F.round("slope", 4) + 0.0).alias("slope"))
+
+
 @query
 def split_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants of each frame on either side of the split: none has both."""
@@ -249,5 +261,8 @@ ORACLES |= {
     "head_optimality": (
         "SELECT c::INTEGER AS class, j::INTEGER AS feature, 0e0 AS slope FROM unnest(range(2)) a(c), unnest(range(64)) b(j)"
     ),
+    "head_early_stop": (
+        "SELECT c::INTEGER AS class, j::INTEGER AS feature, 0e0 AS slope FROM unnest(range(2)) a(c), unnest(range(64)) b(j)"
+    ),
     "split_by_source": f"WITH {GRID} SELECT name AS source_name, name AS root, 1::BIGINT AS sides, 4::BIGINT AS variants FROM grid",
 }

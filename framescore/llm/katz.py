@@ -45,7 +45,7 @@ from framescore.llm.sqltext import crc32
 from framescore.llm.words import hash_words, mix, slices
 
 ORDER, SMALL, KEPT = 2, 5, 0.05
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 # The hashes of the token before a text and of the one after it.
 BEGIN, END = (int(mix(np.array([x], np.uint64))[0]) for x in (0x6265, 0x656E))

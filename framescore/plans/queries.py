@@ -30,6 +30,7 @@ from framescore.operators import (
     sampling,
     scoring,
     tensors,
+    thresholds,
 )
 from framescore.plans import model
 from framescore.schema import ABNORMAL, NO_PATH, NORMAL
@@ -44,6 +45,7 @@ CELLS = SIDE * SIDE
 # File names of the tables' images end in these in turn.
 EXTENSIONS = (".jpg", ".JPG", ".png", ".jpeg")
 SCHEME = "lake"
+RATES = [0.0, 0.01, 0.05, 0.25, 1.0]
 THRESHOLDS = [0.1, 0.25, 0.5, 0.75, 0.9]
 HEAD = [[((7 * i + 13 * c) % 11 - 5) / 2 for i in range(CELLS)] for c in range(2)]
 NO_BIAS = [0.0, 0.0]
@@ -268,19 +270,21 @@ def label_failed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelling.failed_images(labelling.parse_replies(replies(spark, sf_dir)))
 
 
+def odd_length_refused(content: bytes) -> str:
+    """A labeller."""
+    if len(content) % 2:
+        raise ValueError(f"odd length {len(content)}")
+    return '```json\n{"animal": "text", "notes": "%d"}\n```' % len(content)
+
+
 @query
 def bulk_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as file contents, read by a labeller that refuses some of them."""
-    def labeller(content: bytes) -> str:
-        if len(content) % 2:
-            raise ValueError(f"odd length {len(content)}")
-        return '```json\n{"animal": "text", "notes": "%d"}\n```' % len(content)
-
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
     files = table(spark, sf_dir, "documents").select(
         name.alias("name"), F.col("text").cast("binary").alias("content")
     )
-    return labelling.parse_replies(labelling.label_images(files, labeller))
+    return labelling.parse_replies(labelling.label_images(files, odd_length_refused))
 
 
 @query
@@ -780,6 +784,14 @@ def train_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.score_stats(scores))
 
 
+@query
+def threshold_at_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest thresholds that keep to some false-alarm rates, over the order of all scores."""
+    rows = scored(spark, sf_dir).select("label", r6("anomaly_score").alias("anomaly_score"))
+    found = thresholds.threshold_at_rate(rows, RATES)
+    return found.withColumns({c: r6(c) for c in ("false_alarm_rate", "miss_rate")})
+
+
 @query
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table as a stream, scored into a table of the shared folder."""

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from framescore.functions import names
 from framescore.functions.probability import linear_logits, with_scores
-from framescore.operators import combine, epochs, head, pixels, runlog, sampling
+from framescore.operators import combine, epochs, head, labelling, pixels, runlog, sampling
 from framescore.plans import model
 from framescore.plans.oracles import GRID, IMG, ORACLES, SCORED
-from framescore.plans.queries import HEAD, NO_BIAS, grids, images, pictures, query, r6, table
-from framescore.schema import IMAGE_METADATA
+from framescore.plans.labelling import label_stream
+from framescore.plans.queries import HEAD, NO_BIAS, grids, images, odd_length_refused, pictures, query, r6, table
+from framescore.schema import IMAGE_METADATA, LABEL_REPLIES
 from framescore.session import cut_lineage, new_shared_path
 from framescore.sources import labels as label_files
 from framescore.sources import tables
@@ -138,6 +139,19 @@ def stream_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("user_id", "event_id", "frame_no", "frame_name")
 
 
+@query
+def label_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as file contents, labelled slice by slice from a stream; a second run finds nothing to do."""
+    base = new_shared_path(spark, "queue")
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
+    files = table(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content"))
+    files.repartition(4, "name").write.parquet(f"{base}/in")
+    for _ in range(2):
+        stream = stream_table(spark, f"{base}/in", files_per_batch=1)
+        label_stream(stream, odd_length_refused, f"{base}/replies", f"{base}/progress").awaitTermination()
+    return labelling.parse_replies(spark.read.schema(LABEL_REPLIES).parquet(f"{base}/replies"))
+
+
 @query
 def managed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A managed table replaced by one of another schema."""
@@ -239,6 +253,19 @@ ORACLES |= {
     "label_json_roundtrip": AWKWARD,
     "table_overwrite": f"WITH {IMG} SELECT name, path FROM img",
     "table_append": f"WITH {IMG} SELECT name, path FROM img",
+    "label_queue": ORACLES["bulk_labelling"],
+    "threshold_at_rate": (
+        f"WITH {SCORED}, rows AS (SELECT label, round(p0, 6) AS s FROM scored), "
+        "counts AS (SELECT s, count(*) FILTER (label = 1) AS normal, count(*) FILTER (label = 0) AS abnormal FROM rows GROUP BY s), "
+        "cum AS (SELECT s, sum(normal) OVER (ORDER BY s DESC) AS un, sum(abnormal) OVER (ORDER BY s DESC) AS ua, "
+        "sum(normal) OVER () AS tn, sum(abnormal) OVER () AS ta FROM counts), "
+        "rates AS (SELECT unnest([0e0, 0.01e0, 0.05e0, 0.25e0, 1e0]) AS rate), "
+        "totals AS (SELECT any_value(tn) AS tn, any_value(ta) AS ta FROM cum), "
+        "found AS (SELECT rate, min(s) AS t, max(un) AS un, max(ua) AS ua FROM rates JOIN cum ON un <= rate * cum.tn GROUP BY rate) "
+        "SELECT rate, coalesce(t, 'infinity'::DOUBLE) AS threshold, coalesce(un, 0)::BIGINT AS false_alarms, "
+        "round(coalesce(un, 0) / tn, 6) AS false_alarm_rate, (ta - coalesce(ua, 0))::BIGINT AS missed, "
+        "round((ta - coalesce(ua, 0)) / ta, 6) AS miss_rate FROM rates LEFT JOIN found USING (rate), totals"
+    ),
     "append_ledger": (
         f"WITH {GRID}, added AS (SELECT count(*) FILTER (vec_id % 3 = 0) AS added_0, count(*) FILTER (vec_id % 3 <> 0) AS added_1, "
         "0::BIGINT AS added_2 FROM embeddings) SELECT name, label, 64 AS n_bytes, added_0, added_1, added_2 FROM grid, added"

@@ -11,11 +11,12 @@ from framescore.functions import names
 from framescore.functions.probability import linear_logits, with_scores
 from framescore.operators import combine, epochs, head, labelling, pixels, runlog, sampling
 from framescore.plans import model
-from framescore.plans.oracles import GRID, IMG, ORACLES, SCORED
+from framescore.plans.oracles import GRID, IMG, LEVELS, ORACLES, SCORED
 from framescore.plans.labelling import label_stream
 from framescore.plans.queries import HEAD, NO_BIAS, grids, images, odd_length_refused, pictures, query, r6, table
 from framescore.schema import IMAGE_METADATA, LABEL_REPLIES
 from framescore.session import cut_lineage, new_shared_path
+from framescore.sources import images as image_files
 from framescore.sources import labels as label_files
 from framescore.sources import tables
 from framescore.sources.bucketed import read_bucketed, write_bucketed
@@ -152,6 +153,54 @@ def label_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelling.parse_replies(spark.read.schema(LABEL_REPLIES).parquet(f"{base}/replies"))
 
 
+def exported(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all pictures as PNG files, and for every tenth one a note and a file that is cut short."""
+    folder = new_shared_path(spark, "files")
+    rows = pictures(spark, sf_dir).select("vec_id", "name", pixels.encode_png(F.col("image")).alias("content"))
+    tenth = rows.where("vec_id % 10 = 0")
+    note = tenth.select(F.concat("name", F.lit(".txt")).alias("name"), F.lit("a note").cast("binary").alias("content"))
+    cut = tenth.select(F.concat(F.lit("cut_"), "name").alias("name"), F.substring("content", 1, 20).alias("content"))
+    image_files.write_files(rows.select("name", "content").unionByName(note).unionByName(cut), folder)
+    return folder
+
+
+@query
+def image_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of a folder in order of their names, and the files that are no images."""
+    folder = exported(spark, sf_dir)
+    images_of = image_files.require_images(image_files.list_images(spark, folder), folder)
+    kinds = [(images_of, "image"), (image_files.other_files(spark, folder), "other")]
+    return combine.union_all([rows.select("name", names.basename(F.col("path")).alias("base"), F.lit(kind).alias("kind")) for rows, kind in kinds])
+
+
+@query
+def image_files_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures encoded as PNG files and decoded again, pixel by pixel."""
+    found = image_files.valid(image_files.read_images(spark, exported(spark, sf_dir)))
+    levels = F.posexplode(pixels.levels_of(F.col("image"))).alias("k", "value")
+    return found.select("name", F.col("image.height").alias("height"), F.col("image.width").alias("width"), levels)
+
+
+@query
+def image_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that cannot be decoded."""
+    return image_files.rejects(image_files.read_images(spark, exported(spark, sf_dir))).select("name")
+
+
+@query
+def label_file_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label file among the files of a folder, whatever its case, and its labels."""
+    folder = new_shared_path(spark, "label-file")
+    counts = table(spark, sf_dir, "events").where("event_type IS NOT NULL").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    # One line per type of event.
+    lines = counts.agg(F.array_join(F.array_sort(F.collect_list(F.format_string('"%s","%d",""', "event_type", "n"))), "\n").alias("lines"))
+    content = F.concat(F.lit("image_name,label,notes\n"), "lines").cast("binary").alias("content")
+    names_of = F.explode(F.array(*[F.lit(n) for n in ("b_Labels.CSV", "a_labels.csv.bak", "c_labels.csv")])).alias("name")
+    image_files.write_files(lines.select(names_of, content), folder)
+    path = label_files.find_label_file(spark, folder)
+    return label_files.read_labels(spark, path).select("image_name", "label", F.lit(path.rpartition("/")[2]).alias("file"))
+
+
 @query
 def managed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A managed table replaced by one of another schema."""
@@ -253,6 +302,15 @@ ORACLES |= {
     "label_json_roundtrip": AWKWARD,
     "table_overwrite": f"WITH {IMG} SELECT name, path FROM img",
     "table_append": f"WITH {IMG} SELECT name, path FROM img",
+    "label_file_found": (
+        "SELECT event_type AS image_name, count(*)::VARCHAR AS label, 'b_Labels.CSV' AS file FROM events WHERE event_type IS NOT NULL GROUP BY event_type"
+    ),
+    "image_listing": (
+        f"WITH {GRID}, files AS (SELECT name, 'image' AS kind FROM grid UNION ALL SELECT 'cut_' || name, 'image' FROM grid WHERE vec_id % 10 = 0 "
+        "UNION ALL SELECT name || '.txt', 'other' FROM grid WHERE vec_id % 10 = 0) SELECT name, name AS base, kind FROM files"
+    ),
+    "image_files_decoded": f"WITH {LEVELS} SELECT name, 8 AS height, 8 AS width, k::INTEGER AS k, px[k + 1] AS value FROM levels, unnest(range(64)) t(k)",
+    "image_rejects": f"WITH {GRID} SELECT 'cut_' || name AS name FROM grid WHERE vec_id % 10 = 0",
     "label_queue": ORACLES["bulk_labelling"],
     "threshold_at_rate": (
         f"WITH {SCORED}, rows AS (SELECT label, round(p0, 6) AS s FROM scored), "

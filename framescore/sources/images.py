@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,22 @@ def valid(images: DataFrame) -> DataFrame:
 def rejects(images: DataFrame) -> DataFrame:
     """The files that could not be decoded."""
     return images.where(~decoded(F.col("image"))).select("name", "path")
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Write ``name, content`` rows as files of a folder, each by the task that holds it; the number of files.
+
+    A file of that name is replaced, so a task that is run again does no harm. For images: ``pixels.encode_png``.
+    """
+
+    def write(batches):
+        store, base = FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(*[c.to_pylist() for c in batch.columns]):
+                with store.open_output_stream(f"{base}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = files.where("name IS NOT NULL AND content IS NOT NULL").select("name", "content")
+    return rows.mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

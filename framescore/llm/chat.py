@@ -33,7 +33,8 @@ Template = Callable[[list[Turn]], str]
 # Strings that steer a model in common chat formats, this one's own marks among them.
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_ESCAPE = re.compile("|".join([r"\\", *map(re.escape, CONTROL)]))
+# One character at a time: a backslash, or one with which a control string begins, also inside another one.
+_ESCAPE = re.compile(r"\\|(?=%s)." % "|".join(map(re.escape, CONTROL)), re.S)
 _TURN = re.compile(r"<\|turn\|>((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|end\|>))*)<\|end\|>\n", re.S)
 FORMATTED = (
     "conv_id bigint, formatted string, turns array<struct<role:string,text:string>>, "
@@ -43,8 +44,8 @@ PROBES = ("\ue000", "\ue001")
 
 
 def escape(text: str) -> str:
-    """Put a backslash behind the first character of each control string; double each backslash."""
-    return _ESCAPE.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
+    """Put a backslash behind the first character of each control string, at any offset; double each backslash."""
+    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:

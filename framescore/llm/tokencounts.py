@@ -7,7 +7,14 @@ The state is a folder with one sub-folder of totals per committed batch:
 A batch of signed events is summed by (source, lang, tokenizer version) and written under its id. A commit that is
 repeated finds its batch complete and changes nothing; one that died half-way is written anew over what it left,
 since only a folder with its success marker counts. Current totals are the sums over all complete batches, so they
-never depend on the order of commits. ``compact`` folds batches into one and keeps their ids.
+never depend on the order of commits. One writer commits an id at a time: two that commit one id at once write one folder.
+
+    folded/<n>/totals     the totals of many batches
+    folded/<n>/ids        their ids
+
+``compact`` folds all complete batches into one table of totals and keeps their ids, so a repeated commit of a folded batch still changes
+nothing. It counts once its folder has its number, which is one rename; readers take the greatest number, and the folders of
+batches that it holds. The folders of batches folded by the compaction before are deleted then, so a reader that began before keeps its files.
 
 Events: ``insert`` adds a document and its tokens, ``delete`` takes both away, ``revise`` replaces a count (old_tokens) by
 another (tokens), under the same or another tokenizer version: the document leaves the old key and enters the new one.
@@ -21,6 +28,8 @@ not read. Null counts are 0.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -103,9 +112,25 @@ class Rollup:
             raise ValueError("a batch id is made of letters, digits, '-', '_' and '.'")
         return f"{self.path}/deltas/batch={batch}"
 
-    def committed(self, batch: str) -> bool:
+    def _complete(self, batch: str) -> bool:
         return self._fs.exists(self._hadoop(f"{self._folder(batch)}/_SUCCESS"))
 
+    def _names(self, folder: str) -> list[str]:
+        top = self._hadoop(f"{self.path}/{folder}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(top)) if self._fs.exists(top) else []
+
+    def _folded(self) -> str | None:
+        """The folder of the last compaction."""
+        numbers = [int(n) for n in self._names("folded") if n.isdigit()]
+        return f"{self.path}/folded/{max(numbers)}" if numbers else None
+
+    def _folded_ids(self) -> DataFrame:
+        folded = self._folded()
+        return self.spark.read.schema("batch string").parquet(f"{folded}/ids") if folded else self.spark.createDataFrame([], "batch string")
+
+    def committed(self, batch: str) -> bool:
+        return self._complete(batch) or self._folded_ids().where(F.col("batch") == batch).limit(1).count() > 0
+
     def commit(self, batch: str, events: DataFrame) -> bool:
         """Add a batch once. False if it was complete already; its events are then not read."""
         if self.committed(batch):
@@ -113,20 +138,43 @@ class Rollup:
         deltas(events).write.mode("overwrite").parquet(self._folder(batch))
         return True
 
+    def _unfolded(self) -> list[str]:
+        """Ids of the complete batches that no compaction holds."""
+        found = [n.removeprefix("batch=") for n in self._names("deltas")]
+        folded = {r["batch"] for r in self._folded_ids().where(F.col("batch").isin(found)).collect()} if self._folded() else set()
+        return [n for n in found if n not in folded and self._complete(n)]
+
     def batches(self) -> list[str]:
-        """Ids of the complete batches: one name per commit."""
-        top = self._hadoop(f"{self.path}/deltas")
-        if not self._fs.exists(top):
-            return []
-        names = sorted(s.getPath().getName().removeprefix("batch=") for s in self._fs.listStatus(top))
-        return [n for n in names if self.committed(n)]
+        """Ids of the complete batches, folded or not: one name per commit."""
+        return sorted({*(r["batch"] for r in self._folded_ids().collect()), *self._unfolded()})
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens): keys that hold a document or tokens."""
-        folders = [self._folder(b) for b in self.batches()]
+        folded = self._folded()
+        folders = [self._folder(b) for b in self._unfolded()] + ([f"{folded}/totals"] if folded else [])
         if not folders:
             return self.spark.createDataFrame([], TOTALS)
         return (
             self.spark.read.schema(TOTALS).parquet(*folders).groupBy(*KEYS)
             .agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).where("documents <> 0 OR tokens <> 0")
         )
+
+    def compact(self) -> int:
+        """Fold all complete batches; how many were not folded before. One compaction at a time."""
+        fresh, before = self._unfolded(), self._folded()
+        if not fresh:
+            return 0
+        # Those of the compaction before, which readers no longer need.
+        done = [n.removeprefix("batch=") for n in self._names("deltas") if n.removeprefix("batch=") not in fresh]
+        staged = f"{self.path}/folded/staged-{uuid.uuid4().hex}"
+        self.totals().write.parquet(f"{staged}/totals")
+        ids = self.spark.createDataFrame([(b,) for b in fresh], "batch string")
+        self._folded_ids().unionByName(ids).write.parquet(f"{staged}/ids")
+        number = int(before.rpartition("/")[2]) + 1 if before else 0
+        goal = self._hadoop(f"{self.path}/folded/{number}")
+        if self._fs.exists(goal) or not self._fs.rename(self._hadoop(staged), goal):
+            raise FileExistsError(f"compaction {number} is there already")
+        known = {r["batch"] for r in self._folded_ids().where(F.col("batch").isin(done)).collect()} if done else set()
+        for batch in known:
+            self._fs.delete(self._hadoop(self._folder(batch)), True)
+        return len(fresh)

@@ -38,6 +38,8 @@ def build_session(
     return builder.getOrCreate()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Per application: its temporary folder in local mode, and whether it has the package.
 _LOCAL_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -79,7 +81,12 @@ def cut_lineage(df: DataFrame, tag: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, for its pandas UDFs."""
+    """Send this package to the executors, once per application, for its pandas UDFs.
+
+    Batches of rows that go to Python are bounded by bytes too, unless the session says how: rows may be long texts or pixels.
+    """
+    if spark.conf.get(BATCH_BYTES, None) in (None, str(2**63 - 1)):
+        spark.conf.set(BATCH_BYTES, str(1 << 24))
     context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parent

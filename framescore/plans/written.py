@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from framescore.sources import tables
 from framescore.sources.bucketed import read_bucketed, write_bucketed
 from framescore.sources.ledger import KeyLedger
 from framescore.streaming.append import append_keyed_stream, state_on_disk
+from framescore.streaming.report import read_report, report_stream
 from framescore.streaming.score import stream_table, write_stream
 from framescore.streaming.stride import stride_stream
 
@@ -201,12 +203,28 @@ def label_file_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_files.read_labels(spark, path).select("image_name", "label", F.lit(path.rpartition("/")[2]).alias("file"))
 
 
+@query
+def stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored events by windows of six hours, from a stream that gets them in no order of time."""
+    base = new_shared_path(spark, "report")
+    score = F.pmod(F.col("event_id") * 7919, F.lit(1000)) / 1000
+    rows = table(spark, sf_dir, "events").select(
+        "ts", F.pmod("event_id", F.lit(2)).cast("int").alias("label"), score.alias("anomaly_score"), (score < 0.5).cast("int").alias("pred_class")
+    )
+    rows.repartition(4).write.parquet(f"{base}/in")
+    stream = stream_table(spark, f"{base}/in", files_per_batch=1)
+    report_stream(stream, "ts", "6 hours", "100000 days", f"{base}/out", f"{base}/progress").awaitTermination()
+    found = read_report(spark, f"{base}/out").withColumns({c: r6(c) for c in ("mean_score", "std_score")})
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm")).drop("end")
+
+
 @query
 def managed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A managed table replaced by one of another schema."""
-    tables.replace_managed(images(spark, sf_dir).select("name", "path"), "framescore_replaced")
-    tables.replace_managed(grids(spark, sf_dir).select("vec_id", "label"), "framescore_replaced")
-    return tables.read_managed(spark, "framescore_replaced")
+    """A managed table replaced by one of another schema; its name is new, so that sessions on one warehouse do not meet."""
+    name = f"framescore_replaced_{uuid.uuid4().hex}"
+    tables.replace_managed(images(spark, sf_dir).select("name", "path"), name)
+    tables.replace_managed(grids(spark, sf_dir).select("vec_id", "label"), name)
+    return tables.read_managed(spark, name)
 
 
 @query
@@ -311,6 +329,12 @@ ORACLES |= {
     ),
     "image_files_decoded": f"WITH {LEVELS} SELECT name, 8 AS height, 8 AS width, k::INTEGER AS k, px[k + 1] AS value FROM levels, unnest(range(64)) t(k)",
     "image_rejects": f"WITH {GRID} SELECT 'cut_' || name AS name FROM grid WHERE vec_id % 10 = 0",
+    "stream_report": (
+        "WITH rows AS (SELECT ts, (event_id % 2)::INTEGER AS label, event_id * 7919 % 1000 / 1000e0 AS s FROM events) "
+        "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, label, count(*) AS n, round(avg(s), 6) AS mean_score, "
+        "round(sqrt(greatest(avg(s * s) - avg(s) * avg(s), 0)), 6) AS std_score, min(s) AS min_score, max(s) AS max_score, "
+        "count(*) FILTER (s >= 0.5) AS pred_abnormal, count(*) FILTER (s < 0.5) AS pred_normal FROM rows GROUP BY ALL"
+    ),
     "label_queue": ORACLES["bulk_labelling"],
     "threshold_at_rate": (
         f"WITH {SCORED}, rows AS (SELECT label, round(p0, 6) AS s FROM scored), "

@@ -59,7 +59,8 @@ def verify(pairs: DataFrame, texts: DataFrame, unpack: Callable[[DataFrame], Dat
     member = dealt.select(F.col("b").alias("key"), F.struct("a", "salt", F.lit(1).alias("role")).alias("r"))
     centre = dealt.select(F.col("a").alias("key"), F.struct("a", "salt", F.lit(0).alias("role")).alias("r")).distinct()
     roles = member.unionByName(centre).groupBy("key").agg(F.collect_list("r").alias("roles"))
-    ready = unpack(texts.join(roles, "key").select("key", "roles", "text"))
+    # The same join at every size: what would be broadcast grows with the data.
+    ready = unpack(texts.join(roles.hint("merge"), "key").select("key", "roles", "text"))
     payload = [c for c in ready.columns if c not in ("key", "roles")]
     rows = ready.select("key", *payload, F.inline("roles"))
     kind = pairs.schema["a"].dataType.simpleString()
@@ -81,6 +82,20 @@ def verify(pairs: DataFrame, texts: DataFrame, unpack: Callable[[DataFrame], Dat
     return dealt.mapInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
+def hot_first(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs`` with the node that is in more of them as ``a``.
+
+    A centre's roles are dealt over ``SPREAD`` groups; a partner has one role per centre, and of m pairs no node is the partner in
+    more than the square root of 2 m, as each of those centres has as many pairs as it has.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    ends = scratch.write(ends, "degrees", narrow=True)
+    of = lambda side: ends.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"))
+    known = pairs.join(of("a"), "a").join(of("b"), "b")
+    turned = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    return known.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, component): the least key of each connected component, for keys that have a link.
 
@@ -104,9 +119,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 def prefix_pairs(parts: DataFrame, elements: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: every pair of nodes (key, component) of two components whose elements can be ``least`` alike.
 
-    ``elements`` is (key, element, weight, total), total being the sum of a node's weights. For measures that are at most the share of either
-    node's weight that lies on common elements. Such a pair's first common element, in any one order of all
-    elements, has at most 1 - least of the weight before it on both sides; so only elements that early are joined. Rare
+    ``elements`` is (key, element, weight, total), total being the sum of a node's weights. For measures that are at most
+    1 / (1 / s + 1 / t - 1), where s and t are the shares of the two nodes' weights that lie on common elements. Such a pair's first common element, in any one order of all
+    elements, has at most 1 - least of the weight before it on both sides; so only elements that early are joined, and of those only where
+    what lies before them on the two sides still allows the bound to reach ``least``. Rare
     elements come first: those of one node alone cost no row, and a node with more than 1 - least of them is compared with none.
     """
     often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -115,15 +131,17 @@ def prefix_pairs(parts: DataFrame, elements: DataFrame, least: float, scratch: S
     before = own.orderBy("n", "element").rowsBetween(Window.unboundedPreceding, -1)
     alone = F.col("total") - F.sum("weight").over(own)
     early = shared.withColumn("passed", alone + F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    early = early.where(F.col("passed") <= F.col("total") * (1 - least) + 1e-6).select("key", "element")
+    early = early.where(F.col("passed") <= F.col("total") * (1 - least) + 1e-6).select("key", "element", (1 / (1 - F.col("passed") / F.col("total"))).alias("odds"))
     placed = scratch.write(early.join(parts, "key"), "prefixes")
     # Only elements that several components hold; the members of an element's largest component are not paired with each other.
     sizes = placed.groupBy("element", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("element").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     mixed = mixed.select("element", F.col("m.component").alias("main"))
     held = scratch.write(placed.join(mixed, "element"), "prefixes")
-    rest = held.where("component <> main").select("element", F.col("key").alias("a"), F.col("component").alias("ca"))
-    pairs = rest.join(held.select("element", F.col("key").alias("b"), "component"), "element").where("ca <> component")
+    rest = held.where("component <> main").select("element", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("odds").alias("oa"))
+    other = held.select("element", F.col("key").alias("b"), "component", "odds")
+    near = (F.col("ca") != F.col("component")) & (F.col("oa") + F.col("odds") <= 1 / least + 1 + 1e-6)
+    pairs = rest.join(other, "element").where(near)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -159,18 +177,26 @@ def link_all(
         found = pairs.union(stars).groupBy(lo, hi).agg(F.min("a").alias("a")).join(known.toDF("lo", "hi"), ["lo", "hi"], "left_anti")
         fresh = scratch.write(found.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b")), "pairs", narrow=True)
         more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
-        if more.limit(1).count() == 0:
+        n_more = more.count()
+        if n_more == 0:
             break
         named = _merge(named, more, scratch)
         # All pairs of small buckets are tested now; and a bucket of one component stays one.
         tested, links, held = tested.unionByName(fresh), links.unionByName(more), large.select("band", "key")
+        # Where the rest is settled exactly, draws go on only while one in a hundred finds something.
+        if elements is not None and 100 * n_more < fresh.count():
+            large = held.join(named, "key", "left").withColumn("component", F.coalesce("component", "key"))
+            split = large.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
+            large = large.join(split, "band")
+            break
     # Components have not changed since ``large`` was written.
     left = scratch.write(large.select("key", "component").distinct(), "left", narrow=True)
     if elements is None or left.limit(1).count() == 0:
         return links, named
     found = prefix_pairs(left, scratch.write(elements(texts.join(left.select("key"), "key").select("key", "text")), "elements"), least, scratch)
     known = tested.unionByName(fresh).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    fresh = scratch.write(found.join(known, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    found = scratch.write(found.join(known, ["a", "b"], "left_anti"), "pairs", narrow=True)
+    fresh = scratch.write(hot_first(found, scratch), "pairs", narrow=True)
     more = scratch.write(verify(fresh, texts, unpack, similarity, least), "links")
     if more.limit(1).count() == 0:
         return links, named

@@ -134,7 +134,9 @@ def _shingle_rows(joined: DataFrame) -> DataFrame:
 def _element_rows(texts: DataFrame) -> DataFrame:
     """(key, element, weight, total) of (key, text): one row per distinct shingle.
 
-    Probability Jaccard is at most the weight of the common shingles, in either text: each common shingle adds at most its own share.
+    With shares s and t of the two texts' weights on common shingles, probability Jaccard is at most 1 / (1 / s + 1 / t - 1): a common
+    shingle with shares a and b of those adds at most 1 / ((1/s - 1) / a + (1/t - 1) / b + max(1/a, 1/b)), which is concave
+    and of first degree in (a, b), so the sum is at most its value at the sums, a = b = 1. For plain sets it is the similarity itself.
     """
 
     def run(batches):
@@ -182,7 +184,7 @@ def keep_one(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """One document of each class, the one of least doc_id; equal rows of one doc_id stay once."""
     found = scratch.write(classes(docs, scratch), "found")
     gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    rest = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_id"), "left_anti")
     # doc_ids that occur several times are few: only their rows are compared as a whole.
     again = scratch.write(found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
     once = rest.join(again, F.col("doc_id") == F.col("_id"), "left_anti")

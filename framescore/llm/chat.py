@@ -33,8 +33,10 @@ Template = Callable[[list[Turn]], str]
 # Strings that steer a model in common chat formats, this one's own marks among them.
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-# One character at a time: a backslash, or one with which a control string begins, also inside another one.
-_ESCAPE = re.compile(r"\\|(?=%s)." % "|".join(map(re.escape, CONTROL)), re.S)
+# One character at a time: a backslash, or one with which a control string begins, also inside another one. Each branch begins with
+# a plain character, so that a search skips all others.
+_REST = {c: "|".join(re.escape(mark[1:]) for mark in CONTROL if mark[0] == c) for c in sorted({mark[0] for mark in CONTROL})}
+_ESCAPE = re.compile("|".join([r"\\", *(f"{re.escape(c)}(?={rest})" for c, rest in _REST.items())]))
 _TURN = re.compile(r"<\|turn\|>((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!\|end\|>))*)<\|end\|>\n", re.S)
 FORMATTED = (
     "conv_id bigint, formatted string, turns array<struct<role:string,text:string>>, "

@@ -301,3 +301,33 @@ def test_edit_classes_find_copies_with_few_edits(spark):
 
 def test_spaces_are_those_of_the_pattern():
     assert SPACES == "".join(map(chr, [32, 9, 10, 11, 12, 13]))
+
+
+def test_each_window_has_a_seed_of_its_least_hash_and_repeats_have_few():
+    rng, w = np.random.default_rng(5), 16
+    for period in (1, 2, 3, 7, 20, 300):
+        run = np.tile(rng.integers(0, 10**9, period), 400 // period + 1)[:400].astype(np.uint64)
+        row = np.sort(rng.integers(0, 3, len(run)))
+        chosen = passages.minimisers(run, row, w)
+        for i in range(len(run) - w + 1):
+            if row[i] == row[i + w - 1]:
+                assert (run[chosen[(chosen >= i) & (chosen < i + w)]] == run[i : i + w].min()).any()
+    assert len(passages.minimisers(np.ones(1600, np.uint64), np.zeros(1600, int), w)) == 100
+
+
+def test_a_word_repeated_is_one_passage_with_a_chain_per_stretch(spark):
+    df = spark.createDataFrame([(1, "word " * 900), (2, prose(40, 1) + "word " * 900 + prose(40, 2)), (3, prose(90, 3))], "doc_id bigint, text string")
+    found = passages.passages(df, Scratch(spark, "t")).collect()
+    assert {r.doc_id for r in found} == {2}
+    covered = {w for r in found for w in range(r.start_word, r.end_word)}
+    assert set(range(40, 940)) <= covered and min(covered) >= 36 and max(covered) < 944
+    assert len(found) <= 900 / passages.CELL + 2
+
+
+def test_chains_within_a_cover_that_failed_are_aligned(spark):
+    rows = [(1, 0, 100, 0), (1, 10, 50, 1), (1, 60, 120, 2), (1, 0, 100, 3), (2, 10, 50, 4)]
+    ends = spark.createDataFrame(rows, "doc_id bigint, lo int, hi int, chain bigint")
+    assert {r.chain for r in passages._outside(ends).collect()} == {0, 2, 4}
+    covers = spark.createDataFrame([(1, 0, 100), (2, 11, 90)], "doc_id bigint, lo int, hi int")
+    assert {r.chain for r in passages._outside(ends, covers).collect()} == {2, 4}
+    assert {r.chain for r in passages._outside(ends, covers.limit(0)).collect()} == {0, 1, 2, 3, 4}

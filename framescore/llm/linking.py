@@ -8,13 +8,14 @@ own, both drawn anew in each round, so that buckets of the same members draw the
 
 The draws only make components large early. What they leave, the members of larger buckets that still hold several components,
 is settled exactly by ``prefix_pairs``, if the caller gives the texts' elements (``elements``): every pair across components that can reach the
-threshold is compared.
+threshold is compared, or joined through a third text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ SMALL = 8
 PICKS = 2
 # A centre's comparisons are dealt to at most so many groups, each of which gets the centre's payload once.
 SPREAD = 256
+# Elements that more nodes hold among their first ones are searched by differences from a hub.
+HOT = 64
 
 
 def full_buckets(members: DataFrame) -> DataFrame:
@@ -116,35 +119,123 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select(F.col("u").alias("key"), F.col("label").alias("component"))
 
 
-def prefix_pairs(parts: DataFrame, elements: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(a, b), a < b: every pair of nodes (key, component) of two components whose elements can be ``least`` alike.
+def prefix_pairs(parts: DataFrame, elements: DataFrame, least: float, scratch: Scratch, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b, of two components: pairs of nodes (key, component) whose elements can be ``least`` alike, so that the links among them join all that are.
 
     ``elements`` is (key, element, weight, total), total being the sum of a node's weights. For measures that are at most
-    1 / (1 / s + 1 / t - 1), where s and t are the shares of the two nodes' weights that lie on common elements. Such a pair's first common element, in any one order of all
+    1 / (1 / s + 1 / t - 1), where s and t are the shares of the two nodes' weights that lie on common elements, and are that
+    (the Jaccard similarity) for two plain nodes, all of whose weights are 1. Such a pair's first common element, in any one order of all
     elements, has at most 1 - least of the weight before it on both sides; so only elements that early are joined, and of those only where
     what lies before them on the two sides still allows the bound to reach ``least``. Rare
     elements come first: those of one node alone cost no row, and a node with more than 1 - least of them is compared with none.
+    Plain nodes of an element that more than ``hot`` nodes hold so early are not joined by it, but by ``hub_pairs``.
     """
-    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = elements.join(often.hint("merge"), "element")
+    counted = scratch.write(elements.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("element"))), "counted")
     own = Window.partitionBy("key")
     before = own.orderBy("n", "element").rowsBetween(Window.unboundedPreceding, -1)
-    alone = F.col("total") - F.sum("weight").over(own)
-    early = shared.withColumn("passed", alone + F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    early = early.where(F.col("passed") <= F.col("total") * (1 - least) + 1e-6).select("key", "element", (1 / (1 - F.col("passed") / F.col("total"))).alias("odds"))
+    early = counted.withColumn("passed", F.coalesce(F.sum("weight").over(before), F.lit(0))).withColumn("plain", F.max("weight").over(own) == 1).where("n > 1")
+    early = early.where(F.col("passed") <= F.col("total") * (1 - least) + 1e-6)
+    early = early.select("key", "element", "total", "plain", (1 / (1 - F.col("passed") / F.col("total"))).alias("odds"))
     placed = scratch.write(early.join(parts, "key"), "prefixes")
     # Only elements that several components hold; the members of an element's largest component are not paired with each other.
     sizes = placed.groupBy("element", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("element").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    mixed = mixed.select("element", F.col("m.component").alias("main"))
+    mixed = sizes.groupBy("element").agg(F.max(F.struct("size", "component")).alias("m"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("holders")).where("parts > 1")
+    mixed = mixed.select("element", F.col("m.component").alias("main"), (F.col("holders") > hot).alias("hot"))
     held = scratch.write(placed.join(mixed, "element"), "prefixes")
-    rest = held.where("component <> main").select("element", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("odds").alias("oa"))
-    other = held.select("element", F.col("key").alias("b"), "component", "odds")
-    near = (F.col("ca") != F.col("component")) & (F.col("oa") + F.col("odds") <= 1 / least + 1 + 1e-6)
-    pairs = rest.join(other, "element").where(near)
+    by_hub = F.col("hot") & F.col("plain")
+    rest = held.where("component <> main").select("element", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("odds").alias("oa"), by_hub.alias("ha"))
+    other = held.select("element", F.col("key").alias("b"), "component", "odds", by_hub.alias("hb"))
+    near = (F.col("ca") != F.col("component")) & (F.col("oa") + F.col("odds") <= 1 / least + 1 + 1e-6) & ~(F.col("ha") & F.col("hb"))
+    pairs = rest.join(other, "element").where(near).select("a", "b")
+    found = held.where(by_hub)
+    if found.limit(1).count():
+        pairs = pairs.unionByName(hub_pairs(found, counted, least, scratch))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def hub_pairs(held: DataFrame, counted: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of two components: pairs of plain nodes that share a row's element in ``held`` (key, component, total, main), as ``prefix_pairs`` takes them.
+
+    Nodes of one ``main`` and of like totals make a group, and one of them is its hub. Two nodes that differ from the hub in nothing in common (no element
+    that both have and it has not, or it has and both have not) are no more alike than each of them is like the hub: so each is compared with the hub.
+    All others have a first common difference, in the order of rarity, and what lies before it is theirs alone:
+    of copies edited each in places of its own that is nearly all, and few such pairs can still reach ``least``.
+    """
+    step, most = float(np.log(1 / least + 1e-6)), 1 / least + 1 + 1e-6
+    # A node is in two ranges of totals, so that two nodes whose totals allow ``least`` have one in common.
+    at = F.floor(F.log("total") / step).cast("int")
+    members = held.groupBy("main", "key").agg(F.first("component").alias("component"), F.first("total").alias("total"), F.count(F.lit(1)).alias("c"))
+    members = scratch.write(members.withColumn("g", F.explode(F.array(at, at + 1))), "members", narrow=True)
+    chosen = members.groupBy("main", "g").agg(F.max(F.struct(F.col("component") == F.col("main"), "c", "key", "component")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    hubs = scratch.write(chosen.select("main", "g", "size", F.col("m.key").alias("hub"), F.col("m.component").alias("hc")), "hubs", narrow=True)
+    stars = members.join(hubs, ["main", "g"]).where("component <> hc").select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    # Each node to its group's task, in as many parts as ``verify`` makes, the hub first in each.
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SPREAD)).cast("int"))
+    first = dealt.select("main", "g", "salt").distinct().join(hubs, ["main", "g"]).select("main", "g", "salt", F.col("hub").alias("key"), F.col("hc").alias("component"), "size")
+    roles = dealt.select("main", "g", "salt", "key", "component", F.lit(None).cast("bigint").alias("size")).unionByName(first)
+    sets = counted.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("element", "n"))).alias("s")).select("key", F.col("s.element").alias("elements"), F.col("s.n").alias("counts"))
+    rows = sets.join(roles.hint("merge"), "key").repartition("main", "g", "salt").sortWithinPartitions("main", "g", "salt", F.col("size").asc_nulls_last())
+    kinds = {f.name: f.dataType.simpleString() for f in held.schema}
+
+    def run(frames):
+        group, hub = None, None
+        for frame in frames:
+            out = []
+            for main, g, salt, key, part, size, own, counts in zip(*[frame[c] for c in ("main", "g", "salt", "key", "component", "size", "elements", "counts")]):
+                x, n = np.asarray(own), np.asarray(counts)
+                if size == size and size is not None:
+                    group, hub = (main, g, salt), (x, n, size)
+                    continue
+                if group != (main, g, salt):
+                    continue
+                lacks = ~np.isin(hub[0], x, assume_unique=True)
+                adds = ~np.isin(x, hub[0], assume_unique=True)
+                element = np.concatenate([x[adds], hub[0][lacks]])
+                missing = np.arange(len(element)) >= adds.sum()
+                # Nodes of the group that have the difference: of an element that most hold, those that lack it.
+                rarity = np.concatenate([n[adds], np.maximum(2, hub[2] - hub[1][lacks])])
+                order = np.lexsort((element, missing, rarity))
+                element, missing, rarity = element[order], missing[order], rarity[order]
+                lack = np.cumsum(missing) - missing
+                add = np.arange(len(element)) - lack
+                # A partner has at most 1 / least times as many elements.
+                keep = (_odds(add, len(x)) + _odds(least * lack, len(x)) <= most) & (rarity > 1)
+                every = int(adds.sum()), int(lacks.sum())
+                out += [(main, g, key, part, len(x), *every, *d) for d in zip(element[keep].tolist(), missing[keep].tolist(), add[keep].tolist(), lack[keep].tolist())]
+            yield pd.DataFrame(out, columns=["main", "g", "key", "component", "total", "all_adds", "all_lacks", "element", "missing", "adds", "lacks"])
+
+    schema = f"main {kinds['main']}, g int, key {kinds['key']}, component {kinds['component']}, total bigint, all_adds bigint, all_lacks bigint, element bigint, missing boolean, adds bigint, lacks bigint"
+    found = scratch.write(rows.mapInPandas(run, schema), "differences")
+    # A difference is a key if some node of the group outside ``main`` and one of another component can meet there.
+    key = ["main", "g", "element", "missing"]
+    outside = F.col("component") != F.col("main")
+    bounds = found.groupBy(*key).agg(
+        *[F.min(c).alias(f"{c}_any") for c in ("adds", "lacks")], *[F.min(F.when(outside, F.col(c))).alias(f"{c}_out") for c in ("adds", "lacks")], F.count(F.lit(1)).alias("holders")
+    ).where("holders > 1 AND adds_out IS NOT NULL")
+    least_of = lambda c: F.when(outside, F.col(f"{c}_any")).otherwise(F.col(f"{c}_out"))
+    meets = _meet(F.col("adds") + least_of("lacks"), F.col("total"), least * (F.col("lacks") + least_of("adds")), F.col("total"), most)
+    sums = ["total", "all_adds", "all_lacks", "adds", "lacks"]
+    live = scratch.write(found.join(bounds, key).where(meets).select(*key, "key", "component", *sums), "differences")
+    rest = live.where(outside).select(*key, F.col("key").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in sums])
+    other = live.select(*key, F.col("key").alias("b"), "component", *sums)
+    # The differences of one kind in common are no more than either node has left.
+    left = lambda c: F.least(F.col(f"a_all_{c}") - F.col(f"a_{c}"), F.col(f"all_{c}") - F.col(c))
+    common = left("adds") + left("lacks")
+    apart = F.col("a_all_adds") + F.col("all_lacks") - common, F.col("a_total"), F.col("all_adds") + F.col("a_all_lacks") - common, F.col("total")
+    near = (F.col("ca") != F.col("component")) & _meet(*apart, most)
+    return stars.unionByName(rest.join(other, key).where(near).select("a", "b"))
+
+
+def _odds(own: np.ndarray, total: int) -> np.ndarray:
+    """1 / the share that is left of ``total`` without ``own``."""
+    return np.divide(total, total - own, out=np.full(len(own), np.inf), where=own < total)
+
+
+def _meet(one, total, other, its, most: float):
+    """Whether two nodes can be alike with at least ``one`` of ``total`` elements, and ``other`` of ``its``, not in common."""
+    return (one < total) & (other < its) & (F.try_divide(total, total - one) + F.try_divide(its, its - other) <= most)
+
+
 def link_all(
     members: DataFrame, read_texts: Callable[[DataFrame], DataFrame], unpack: Callable, similarity: Callable, least: float, scratch: Scratch,
     elements: Callable[[DataFrame], DataFrame] | None = None,

@@ -107,6 +107,35 @@ def test_prefixes_hold_every_pair_that_can_be_near(spark):
     assert want and want <= got and all(i // 2 != j // 2 for i, j in got)
 
 
+def test_hubs_join_all_that_pairs_join_with_fewer_comparisons(spark):
+    # Copies of one set edited in places of their own, copies of such copies, sets that share a few elements only, and bags.
+    r, fresh = random.Random(0), iter(range(1000, 10**6))
+
+    def edited(x, drop, add):
+        return set(r.sample(sorted(x), len(x) - drop)) | {next(fresh) for _ in range(add)}
+
+    base = set(range(100))
+    sets = [edited(base, r.randint(0, 8), r.randint(0, 8)) for _ in range(100)]
+    for _ in range(40):
+        far = edited(base, r.randint(9, 14), r.randint(9, 14))
+        sets += [far, edited(far, r.randint(0, 14), r.randint(0, 14))]
+    sets += [set(range(10)) | {next(fresh) for _ in range(r.randint(1, 60))} for _ in range(30)] + [edited(base, r.randint(0, 30), 0) for _ in range(30)]
+    bags = [Counter({e: 1 + (i % 9 == 0 and r.random() < 0.2) for e in x}) for i, x in enumerate(sets)]
+    rows = [(i, e, n, b.total()) for i, b in enumerate(bags) for e, n in b.items()]
+    elements = spark.createDataFrame(rows, "key bigint, element bigint, weight bigint, total bigint")
+    lists = [(np.array(sorted(b), np.uint64), np.array([b[e] for e in sorted(b)])) for b in bags]
+    alike = {(i, j): minhash.probability_jaccard(*lists[i], *lists[j]) for j in range(len(bags)) for i in range(j)}
+    near = [p for p, s in alike.items() if s >= 0.8]
+    for begun in ({i: i for i in range(len(bags))}, _groups([p for p in near if p[1] < 90], range(len(bags)))):
+        parts = spark.createDataFrame(list(begun.items()), "key bigint, component bigint")
+        start = [(i, c) for i, c in begun.items()]
+        every, few = ([(p.a, p.b) for p in linking.prefix_pairs(parts, elements, 0.8, Scratch(spark, "t"), hot).collect()] for hot in (10**9, 8))
+        assert len(few) < 0.8 * len(every)
+        for got in (every, few):
+            assert all(i < j and begun[i] != begun[j] for i, j in got) and len(set(got)) == len(got)
+            assert _groups([p for p in got if alike[p] >= 0.8] + start, range(len(bags))) == _groups(near + start, range(len(bags)))
+
+
 def test_registers_agree_as_often_as_the_similarity_says():
     texts = [prose(100, 1), _edited(prose(100, 1), 4, 2), "go on " * 20 + prose(40, 3), "go on " * 50 + prose(40, 3)]
     row, element, weight = minhash.weighted_shingles(pa.array(texts))

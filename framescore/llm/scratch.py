@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framescore.session import new_shared_path
+from framescore.session import new_shared_path, shuffle_tasks
 
 _OPEN: list[str] = []
 # Names of bucketed tables, which lie in those folders too.
@@ -69,8 +69,3 @@ def release(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _OPEN:
         _delete(spark, _OPEN.pop())
-
-
-def shuffle_tasks(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,7 @@ from framescore.plans.oracles import GRID, IMG, LEVELS, ORACLES, SCORED
 from framescore.plans.labelling import label_stream
 from framescore.plans.queries import HEAD, NO_BIAS, grids, images, odd_length_refused, pictures, query, r6, table
 from framescore.schema import IMAGE_METADATA, LABEL_REPLIES
-from framescore.session import cut_lineage, new_shared_path
+from framescore.session import cut_lineage, new_shared_path, shuffle_tasks
 from framescore.sources import images as image_files
 from framescore.sources import labels as label_files
 from framescore.sources import tables
@@ -148,9 +148,11 @@ def label_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_shared_path(spark, "queue")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".jpg"))
     files = table(spark, sf_dir, "documents").select(name.alias("name"), F.col("text").cast("binary").alias("content"))
-    files.repartition(4, "name").write.parquet(f"{base}/in")
+    # As many files as the session's shuffles have tasks, so that none holds much of the table, in four slices.
+    n = max(4, shuffle_tasks(spark))
+    files.repartition(n, "name").write.parquet(f"{base}/in")
     for _ in range(2):
-        stream = stream_table(spark, f"{base}/in", files_per_batch=1)
+        stream = stream_table(spark, f"{base}/in", files_per_batch=-(-n // 4))
         label_stream(stream, odd_length_refused, f"{base}/replies", f"{base}/progress").awaitTermination()
     return labelling.parse_replies(spark.read.schema(LABEL_REPLIES).parquet(f"{base}/replies"))
 

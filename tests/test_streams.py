@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from framescore.operators import combine, sampling
 from framescore.sources.bucketed import drop_bucketed, read_bucketed, write_bucketed
 from framescore.sources.ledger import KeyLedger
+from framescore.streaming import stride
 from framescore.streaming.append import PROVIDER, append_keyed_stream, state_on_disk
 from framescore.streaming.score import stream_table, write_stream
 from framescore.streaming.stride import stride_stream
@@ -98,6 +99,22 @@ def test_stride_equals_the_batch_for_any_split(spark, tmp_path, pieces):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_sources_of_one_bucket_keep_counts_of_their_own_in_one_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stride, "BUCKETS", 2)
+    # Whole numbers beyond those that a float holds, beside rows without a source.
+    rows = [(s, i, i) for i in range(24) for s in (2**60 + 1, 2**60 + 2, 5, None, 9)]
+    frames = "source bigint, at int, no int"
+    for lo, hi in ((0, 33), (33, 70), (70, 120)):
+        _add(spark, f"{tmp_path}/in", rows[lo:hi], frames)
+    with state_on_disk(spark):
+        kept = stride_stream(stream_table(spark, f"{tmp_path}/in", 1), "source", ["at"], 5)
+        write_stream(kept, f"{tmp_path}/out", f"{tmp_path}/p").awaitTermination()
+        keys = spark.read.format("statestore").option("stateVarName", "seen").load(f"{tmp_path}/p").count()
+    assert 1 < keys <= 3
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("source", "at", "frame_no").collect()]
+    assert sorted(got, key=str) == sorted([(s, i, i // 5 + 1) for s, i, _ in rows if i % 5 == 0], key=str)
+
+
 def test_an_idle_source_ends_and_begins_anew(spark, tmp_path):
     _add(spark, f"{tmp_path}/in", [("a", 0, 0), ("a", 1, 1)], FRAMES)
     stream = stream_table(spark, f"{tmp_path}/in", 1)

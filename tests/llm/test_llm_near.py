@@ -13,7 +13,7 @@ from cases import prose
 
 from framescore.llm import editembed, linking, minhash, passages
 from framescore.llm.scratch import Scratch
-from framescore.llm.words import SPACES
+from framescore.llm.words import SPACES, hash_words
 
 
 def _groups(pairs, items):
@@ -211,6 +211,50 @@ def test_passages_of_common_lines_are_found_past_nearer_holders_of_one(spark, n,
         assert min(r.start_word for r in found) <= 30 and max(r.end_word for r in found) >= 30 + n * size
 
 
+def _behind_chunks() -> list[tuple[int, str]]:
+    """Documents 0 and 9 share 60 words (some differ in 11); those between hold 45 of them each, no two the same, and so each of their seeds' keys."""
+    rows = []
+    for g in range(4):
+        p, base = prose(60, 6100 + g).split(), 100 * g
+        chunks = [(i + 1, p[lo : lo + 45]) for i, lo in enumerate((0, 3, 6, 9, 12, 15))]
+        for i, own in [(0, p), *chunks, (9, p), (11, _edited(" ".join(p), 2, g).split(" "))]:
+            rows.append((base + i, " ".join([prose(70, 6200 + base + i), *own, prose(70, 7200 + base + i)])))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [256, 2])
+def test_passages_are_found_behind_nearer_holders_of_all_their_keys(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
+    rows = [r for r in _behind_chunks() if r[0] % 100 != 11]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t")).collect()
+    runs = {i: {tuple(w[n : n + 50]) for n in range(len(w) - 49)} for i, t in rows for w in [t.split()]}
+    exact = {(i, j) for i in runs for j in runs if j < i and runs[i] & runs[j]}
+    assert exact == {(100 * g + 9, 100 * g) for g in range(4)}
+    spans = {r.doc_id: (r.start_word, r.end_word) for r in found if (r.doc_id, r.earlier_id) in exact}
+    assert set(spans) == {i for i, _ in exact} and all(lo <= 70 and hi >= 130 for lo, hi in spans.values())
+
+
+def test_further_matches_are_all_those_that_agree(spark, monkeypatch):
+    df = spark.createDataFrame(_behind_chunks(), "doc_id bigint, text string")
+    s = Scratch(spark, "t")
+    hits = s.write(passages.matches(passages.seeds(df)), "hits")
+    none = spark.createDataFrame([], passages.PASSAGE)
+    words = {r.doc_id: hash_words(pa.array([r.text])).hashes >> np.uint64(32) | np.uint64(1) for r in df.collect()}
+    reach = np.arange(passages.K - passages.NEAR - passages.BAND, passages.NEAR + passages.BAND)
+    about = lambda d, at: [int(words[d][at + n]) if 0 <= at + n < len(words[d]) else 0 for n in reach]
+
+    def score(a, b):
+        hit = [a[n] != 0 and a[n] in b[n - passages.BAND : n + passages.BAND + 1] for n in range(passages.BAND, len(a) - passages.BAND)]
+        return max(sum(hit[n : n + passages.NEAR]) for n in range(len(hit) - passages.NEAR + 1))
+
+    places = [(r.seed, r.doc_id, r.at) for r in passages.seeds(df, runs=(1,)).collect()]
+    wanted = {(d, e, i, j) for s1, d, i in places for s2, e, j in places if s1 == s2 and e < d and score(about(d, i), about(e, j)) >= passages.AGREE}
+    for hot in (256, 0):
+        monkeypatch.setattr(passages, "HOT", hot)
+        got = passages.further_matches(df, hits, none, s).collect()
+        assert len(got) == len(wanted) > 0 and {(r.doc_id, r.earlier_id, r.at, r.earlier_at) for r in got} == wanted
+
+
 def test_alignment_goes_on_beyond_the_words_fetched_first(spark):
     # One seed's holder shares 400 words on both sides of it.
     shared = prose(800, 77)

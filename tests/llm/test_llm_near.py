@@ -255,6 +255,52 @@ def test_further_matches_are_all_those_that_agree(spark, monkeypatch):
         assert len(got) == len(wanted) > 0 and {(r.doc_id, r.earlier_id, r.at, r.earlier_at) for r in got} == wanted
 
 
+@pytest.mark.parametrize("crowd", [0, 2])
+def test_crowded_seeds_are_matched_as_pair_by_pair(spark, monkeypatch, crowd):
+    df = spark.createDataFrame(_behind_chunks(), "doc_id bigint, text string")
+    s, none = Scratch(spark, "t"), spark.createDataFrame([], passages.PASSAGE)
+    hits = s.write(passages.matches(passages.seeds(df)), "hits")
+    whole, ends = (passages.further_matches(df, hits, none, s, stretched=e).collect() for e in (False, True))
+    # Chunks of 45 words agree, but no stretch of 50 that begins and ends with equal words is in two of them.
+    assert set(ends) < set(whole) and {(r.doc_id % 100, r.earlier_id % 100) for r in ends} >= {(9, 0), (11, 0), (11, 9)} and len(ends) < 0.5 * len(whole)
+    monkeypatch.setattr(passages, "HOT", 0)
+    monkeypatch.setattr(passages, "OPEN", 0)
+    monkeypatch.setattr(passages, "CROWD", crowd)
+    for e, wanted in ((False, whole), (True, ends)):
+        got = passages.further_matches(df, hits, none, s, stretched=e).drop("rank").collect()
+        assert sorted(map(tuple, got)) == sorted(tuple(r)[:-1] for r in wanted)
+
+
+def test_rows_that_agree_share_a_key():
+    r, found = np.random.default_rng(3), 0
+    for _ in range(300):
+        # Few words, some of them all over; the other row is a copy with up to 20 words changed.
+        a = (r.zipf(1.3, passages.ABOUT) % 60 + 1).astype(np.int32)
+        b = np.where(r.random(passages.ABOUT) < r.random() * 0.4, r.integers(1, 60, passages.ABOUT), a)
+        count = r.integers(2, 40, 61)
+        if np.convolve(np.isin(a, b), np.ones(passages.NEAR), "valid").max() >= passages.AGREE:
+            found += 1
+            for crowd in (0, 10, 40):
+                single, double = passages.rare_keys(np.arange(passages.ABOUT), count[a], a, crowd)
+                assert single & set(b.tolist()) or any({x, y} <= set(b.tolist()) for x, y in double)
+    assert found > 50
+
+
+def test_documents_of_a_crowd_meet_by_a_second_word(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT", 16)
+    r, line, made = random.Random(5), prose(14, 4400), []
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join([*r.choices(vocabulary, k=70), line, *r.choices(vocabulary, k=70)])) for i in range(300)]
+    df, s = spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t")
+    hits = s.write(passages.matches(passages.seeds(df)), "hits")
+    for crowd in (10**6, 2):
+        monkeypatch.setattr(passages, "CROWD", crowd)
+        before = set(s.paths)
+        assert passages.further_matches(df, hits, spark.createDataFrame([], passages.PASSAGE), s).count() == 0
+        made.append(spark.read.parquet(*[p for n, p in s.paths.items() if n not in before and "/pairs-" in p]).count())
+    assert made[1] < 0.5 * made[0]
+
+
 def test_alignment_goes_on_beyond_the_words_fetched_first(spark):
     # One seed's holder shares 400 words on both sides of it.
     shared = prose(800, 77)

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from cases import prose
+from pyspark.sql import functions as F
 
 from framescore.llm import editembed, linking, minhash, passages
 from framescore.llm.scratch import Scratch
@@ -301,6 +303,68 @@ def test_documents_of_a_crowd_meet_by_a_second_word(spark, monkeypatch):
     assert made[1] < 0.5 * made[0]
 
 
+def test_documents_of_a_crowd_meet_by_words_in_like_places_only(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT", 16)
+    monkeypatch.setattr(passages, "CROWD", 2)
+    r, line, n = random.Random(6), prose(14, 4500), 200
+    vocabulary = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join([*r.choices(vocabulary, k=60), line, *r.choices(vocabulary, k=60)])) for i in range(n)]
+    rows += [(n + i, " ".join([prose(50, 6700 + i), rows[i][1], prose(50, 7700 + i)])) for i in range(4)]
+    df, s = spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t")
+    hits = s.write(passages.matches(passages.seeds(df)), "hits")
+    got = passages.further_matches(df, hits, spark.createDataFrame([], passages.PASSAGE), s).collect()
+    assert {(r.doc_id, r.earlier_id) for r in got} == {(n + i, i) for i in range(4)}
+    pairs = spark.read.parquet(*[p for p in s.paths.values() if "/pairs-" in p])
+    assert pairs.select("doc_id", "earlier_id").distinct().count() < 0.6 * n * (n - 1) / 2
+
+
+@pytest.mark.parametrize("bits", [1, 1 << 24])
+def test_rows_meet_those_that_hold_both_tokens_of_a_key(monkeypatch, bits):
+    monkeypatch.setattr(passages, "BITS", bits)
+    r, wide = np.random.default_rng(4), passages.ABOUT + 2 * passages.BAND
+    words = r.integers(0, 300, (40, wide)).astype(np.int32)
+    size = r.integers(0, 5, 30)
+    word, place = r.integers(1, 300, (size.sum(), 2)).astype(np.int32), r.integers(0, passages.ABOUT, (size.sum(), 2))
+    stretch = place // (passages.BAND + 1)
+    one = r.random(len(word)) < 0.2
+    first, second = passages.tokens(word[:, 0], stretch[:, 0]), np.where(one, 0, passages.tokens(word[:, 1], stretch[:, 1]))
+
+    def holds(j, w, b):
+        # A place of the stretch sees those at most BAND off; the row's words begin BAND places before the first.
+        lo, hi = b * (passages.BAND + 1), min((b + 1) * (passages.BAND + 1), passages.ABOUT)
+        return bool((words[j, lo : hi + 2 * passages.BAND] == w).any())
+
+    wanted, at = set(), 0
+    for i, n in enumerate(size):
+        for k in range(at, at + n):
+            wanted |= {(i, j) for j in range(len(words)) if holds(j, word[k, 0], stretch[k, 0]) and (one[k] or holds(j, word[k, 1], stretch[k, 1]))}
+        at += n
+    got = [(int(i), int(j)) for a, b in passages._meeting(size, first, second, words) for i, j in zip(a, b)]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 20
+
+
+@pytest.mark.parametrize("side", [3, 7])
+def test_blocks_of_places_give_the_same_matches(spark, monkeypatch, side):
+    df = spark.createDataFrame(_behind_chunks(), "doc_id bigint, text string")
+    s, none = Scratch(spark, "t"), spark.createDataFrame([], passages.PASSAGE)
+    hits = s.write(passages.matches(passages.seeds(df)), "hits")
+    whole = sorted(map(tuple, passages.further_matches(df, hits, none, s).collect()))
+    monkeypatch.setattr(passages, "HOT", 0)
+    monkeypatch.setattr(passages, "SIDE", side)
+    for least in (0, 4):
+        monkeypatch.setattr(passages, "OPEN", least)
+        assert sorted(map(tuple, passages.further_matches(df, hits, none, s).collect())) == whole
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    root = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    files = lambda: {p for p in root.rglob("shuffle_*.data")}
+    before = files()
+    table = Scratch(spark, "t").write(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert not files() - before
+    assert table.count() == 7 and table.join(table.groupBy("k").count().withColumnRenamed("count", "n"), "k").count() == 7
+
+
 def test_alignment_goes_on_beyond_the_words_fetched_first(spark):
     # One seed's holder shares 400 words on both sides of it.
     shared = prose(800, 77)

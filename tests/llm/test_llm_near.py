@@ -356,6 +356,49 @@ def test_blocks_of_places_give_the_same_matches(spark, monkeypatch, side):
         assert sorted(map(tuple, passages.further_matches(df, hits, none, s).collect())) == whole
 
 
+def test_chains_in_slices_give_the_same_passages_and_tables_on_the_way_go(spark, monkeypatch):
+    # All hold a word 45 times, so their seeds agree; two share 60 words as well.
+    rows = [(i, " ".join([prose(70, 8100 + i), "again " * 45, prose(70, 8200 + i), prose(60, 8300) if i in (3, 9) else ""])) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+
+    def run():
+        s = Scratch(spark, "t")
+        found = sorted(map(tuple, passages.passages(df, s).collect()))
+        there = [Path(p).name.rsplit("-", 1)[0] for p in s.paths.values() if Path(p.removeprefix("file:")).exists()]
+        return found, there
+
+    whole, before = run()
+    monkeypatch.setattr(passages, "CHAINS", 1)
+    found, there = run()
+    assert whole == found and {(r[0], r[3]) for r in found} == {(9, 3)}
+    assert there.count("aligned") > before.count("aligned")
+    assert "further" in there and not {"matches", "left", "places", "about", "counts", "asked", "pairs"} & set(there)
+
+
+def test_chains_without_hope_give_no_passage(monkeypatch):
+    judge, hopes, passed = passages.hopeless, Counter(), 0
+    r = np.random.default_rng(8)
+    for _ in range(1500):
+        # Runs of few words, some kept, some changed, dropped or put in; matches are equal words in step.
+        a = np.repeat(r.integers(0, 12, 40), r.integers(1, 30, 40))[:160].astype(np.int64)
+        kind, p = r.random(len(a)), r.choice([0.05, 0.2, 0.4])
+        b = np.concatenate([[w] if x > p else ([r.integers(100, 200)] if x > p / 3 else ([] if x > p / 6 else [w, w])) for w, x in zip(a, kind)] + [np.zeros(0)]).astype(np.int64)
+        lo = int(r.integers(0, 60))
+        b = np.concatenate([r.integers(200, 300, lo), b[lo : lo + int(r.integers(30, 120))], r.integers(300, 400, 60)])
+        same = [i for i in range(min(len(a), len(b)) - 5) if (a[i : i + 6] == b[i : i + 6]).all()]
+        if not same:
+            continue
+        at = np.array(same[: 1 + int(r.integers(0, 3))])
+        more = tuple(map(bool, r.integers(0, 2, 2))), tuple(map(bool, r.integers(0, 2, 2)))
+        with monkeypatch.context() as m:
+            m.setattr(passages, "hopeless", lambda *x: False)
+            found, beyond = passages._alike(a, b, at, at, 50, 0.8, *more)
+        hopes[judge(a, b, at, at, 50, 0.8, *more)] += 1
+        passed += bool(found)
+        assert not judge(a, b, at, at, 50, 0.8, *more) or (not found and not beyond)
+    assert hopes[True] > 100 and passed > 50, (hopes, passed)
+
+
 def test_scratch_tables_leave_no_shuffle_files(spark):
     root = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
     files = lambda: {p for p in root.rglob("shuffle_*.data")}
